@@ -2,7 +2,28 @@
 
 from __future__ import annotations
 
-from termspark.llm import simhash
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES = {"op1_simhash": simhash.op1_simhash}
-ORACLES: dict[str, str] = {}
+from termspark.llm import ann, bpe, langid, lines, media, mixing, secrets, simhash, substrings, warc
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_neighbours": ann.op2_neighbours,
+    "op3_language": langid.op3_language,
+    "op4_warc": warc.op4_warc,
+    "op5_media": media.op5_media,
+    "op6_secrets": secrets.op6_secrets,
+    "op7_bpe": bpe.op7_bpe,
+    "op8_lines": lines.op8_lines,
+    "op9_substrings": substrings.op9_substrings,
+    "op10_mixing": mixing.op10_mixing,
+    "pipeline": pipeline,
+}
+ORACLES = {"op4_warc": warc.ORACLE, "op9_substrings": substrings.ORACLE}
