@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from termspark.llm.common import cut, table, text_batches
+from termspark.llm.common import table, text_batches
 
 LENGTH = 35
 _BATCH = 2 << 20
@@ -171,7 +171,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     is allowed, and equal doc_ids with different texts do not mix. Other columns are ignored.
     """
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("k1"), F.hash(F.coalesce("text", F.lit("\x00"))).alias("k2"))
-    anchors = cut(find_anchors(keyed, length))
+    anchors = find_anchors(keyed, length)
     same = W.partitionBy("anchor", "block")
     place = F.struct("k1", "k2", "first")
     counted = anchors.select("*", F.count("*").over(same).alias("alike"), (F.min(place).over(same) == place).alias("foremost"))
