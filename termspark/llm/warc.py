@@ -82,7 +82,7 @@ class Writer:
 
     def __init__(self, folder: str, sample: list[bytes]):
         self.name, fs, path = new_file(folder, ".warc.zst")
-        self.file = fs.open_output_stream(path)
+        self.file = fs.open_output_stream(path, compression=None)
         dictionary = build_dictionary(sample)
         self.file.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
         self.offset = 8 + len(dictionary)
@@ -194,7 +194,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         fs, path = store(folder)
         for batch in batches:
             for name in batch.column("archive").to_pylist():
-                with fs.open_input_stream(f"{path}/{name}") as f:
+                with fs.open_input_stream(f"{path}/{name}", compression=None) as f:
                     rows = []
                     for offset, data in frames(iter(lambda f=f: f.read(_READ), b"")):
                         headers, block = parse(data)
