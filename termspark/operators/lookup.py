@@ -42,3 +42,16 @@ def details(ontologies: DataFrame, metrics: DataFrame, categories: DataFrame, su
     both = ontologies.join(metrics, "acronym", "left").join(names, "acronym", "left").join(submissions.select("acronym", F.lit(True).alias("sub")).distinct(), "acronym", "left")
     ok = F.coalesce("sub", F.lit(False)) & F.col("classes").isNotNull()
     return both.select("acronym", F.coalesce(F.col("classes").cast("long"), F.lit(0)).alias("classes"), "categories", ok.alias("metrics_available"), ok.alias("has_submissions"))
+
+
+def resolve_relations(requests: DataFrame, relations: DataFrame) -> DataFrame:
+    """requests (request_id, ld_id) to request_id, relation_type, target_class_id, found, by the short identifier."""
+    known = relations.select(short_id(F.col("ld_id")).alias("key"), "relation_type", "target_class_id", F.lit(True).alias("hit"))
+    asked = requests.withColumn("key", short_id(F.col("ld_id")))
+    return asked.join(known, "key", "left").select("request_id", "relation_type", "target_class_id", F.coalesce("hit", F.lit(False)).alias("found"))
+
+
+def set_of_value(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """values (acronym, value_id) with set_id: the first parent, null without one."""
+    first = edges.groupBy("acronym", F.col("child_id").alias("value_id")).agg(F.min_by("parent_id", "ord").alias("set_id"))
+    return values.join(first, ["acronym", "value_id"], "left")

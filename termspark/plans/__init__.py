@@ -276,3 +276,6 @@ def s8_catalog_dedupe(spark, sf_dir):
     (feed,) = views(spark, sf_dir, "change_feed")
     order = F.struct("ts", "seq")
     return feed.groupBy("term_key").agg(F.min_by("op", order).alias("first_op"), F.max_by("op", order).alias("last_op"), F.min("ts").alias("first_at"), F.count("*").alias("versions"))
+
+
+from termspark.plans import records  # noqa: E402, F401

@@ -62,6 +62,25 @@ SELECT CAST(n_regionkey AS BIGINT) AS request_id, CASE WHEN n_nationkey % 2 = 0
 SELECT user_id AS term_key, ts, event_id AS seq,
        CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS op, event_type AS label,
        CASE WHEN event_type = 'view' THEN NULL ELSE value END AS weight FROM events""",
+    #: Properties of the ontology of parts; some have no preferred label, some no definition.
+    "properties": f"""
+SELECT 'PART' AS acronym, concat('{BASE}/PART/prop#', p_type, '_', p_size) AS ld_id, CASE WHEN p_size % 3 = 0 THEN NULL ELSE concat(p_type, ' ', p_size, ' measure') END AS pref_label,
+       concat(p_type, ' ', p_size) AS label, CASE WHEN p_size % 2 = 0 THEN concat('Parts of size ', p_size) END AS definition, min(p_partkey) AS ord FROM part GROUP BY p_type, p_size""",
+    "property_edges": f"""
+SELECT 'PART' AS acronym, concat('{BASE}/PART/prop#', p_type, '_', p_size) AS child_id, concat('{BASE}/PART/kind#', p_type) AS parent_id, min(p_partkey) AS ord FROM part GROUP BY p_type, p_size
+UNION ALL SELECT 'PART', concat('{BASE}/PART/brand#', p_type, '_', p_size, '_', p_brand), concat('{BASE}/PART/prop#', p_type, '_', p_size), 1000000000 + min(p_partkey) FROM part GROUP BY p_type, p_size, p_brand""",
+    #: One relation per order line, from a part to its supplier.
+    "relations": f"""
+SELECT concat('R', l_orderkey * 10 + l_linenumber) AS ld_id, concat('{BASE}/PART/part#P', l_partkey) AS source_class_id, 'suppliedBy' AS relation_type, concat('{BASE}/FLAT/S', l_suppkey) AS target_class_id FROM lineitem""",
+    #: Search bodies, one per event; six of seven kinds break a rule. Angle brackets stand for braces.
+    "bodies": """
+SELECT event_id AS request_id, replace(replace(CASE event_id % 7
+  WHEN 0 THEN concat('<"parameterObject":<"inputText":"', event_type, '","valueConstraints":<"ontologies":[<"acronym":"PART">],"branches":[],"valueSets":[],"classes":[],"actions":[]>>,"page":1,"pageSize":', user_id, '>')
+  WHEN 1 THEN concat('<"page":', user_id, '>') WHEN 2 THEN '<"parameterObject":<"inputText":"x">>' WHEN 3 THEN '<"parameterObject":<"valueConstraints":<"branches":[]>>>'
+  WHEN 4 THEN concat('<"parameterObject":<"valueConstraints":<"ontologies":[],"branches":[],"valueSets":[],"classes":[]>>,"', event_type, '":1>')
+  WHEN 5 THEN '<"parameterObject":<"valueConstraints":<"ontologies":[<"acronym":"">],"branches":[],"valueSets":[],"classes":[]>>>'
+  ELSE concat('<"parameterObject":<"valueConstraints":<"ontologies":[],"branches":[],"valueSets":[],"classes":[],"actions":[<"action":"', event_type, '","termUri":"t","type":"Value","source":"s">]>>>')
+  END, '<', chr(123)), '>', chr(125)) AS body FROM events""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from termspark import functions as X
-from termspark.operators import hierarchy, paging, search
+from termspark.operators import hierarchy, paging, search, validate
 from termspark.plans import ORACLES, QUERIES
-from termspark.sources import TABLES
+from termspark.sources import TABLES, documents
 from termspark.streaming import latest_state
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +106,22 @@ def test_actions_equal_a_list(spark, size, acts):
 def test_latest_state_revives_after_delete(spark):
     feed = spark.createDataFrame([(1, 1, 1, "create", "a", 1.0), (1, 2, 2, "delete", None, None), (1, 3, 3, "create", "b", None), (2, 1, 4, "create", "c", 2.0), (2, 2, 5, "update", None, 3.0), (3, 1, 6, "delete", None, None)], "term_key int, ts int, seq int, op string, label string, weight double")
     assert rows(latest_state(feed)) == [(1, "b", None, 3), (2, "c", 3.0, 5)]
+
+
+def test_documents(spark, tmp_path):
+    (tmp_path / "o.json").write_text('[{"acronym": "A", "@id": "http://x/A", "name": "a", "flat": true}, {"acronym": "B", "@id": "http://x/B", "more": 1}]')
+    assert rows(documents.ontologies(spark, str(tmp_path / "o.json")).select("acronym", "is_flat", "ord")) == [("A", True, 0), ("B", False, 1)]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "1.json").write_text('{"acronym": "A", "page": 2, "collection": [{"@id": "c3"}]}\n{"acronym": "A", "page": 1, "collection": [{"@id": "c1", "synonym": ["s"]}, {"@id": "c2"}]}')
+    assert [r.ld_id for r in documents.class_pages(spark, str(tmp_path / "p")).orderBy("ord").collect()] == ["c1", "c2", "c3"]
+    trees = spark.createDataFrame([(1, '{"@id":"a","children":[{"@id":"b","children":[]},{"@id":"c","children":[{"@id":"d"}]}]}'), (2, '{"@id":"z"}')], "doc_id long, body string")
+    assert rows(documents.flatten_trees(trees).select("doc_id", F.coalesce("parent_id", F.lit("-")), "node_id", "depth")) == [(1, "-", "a", 0), (1, "a", "b", 1), (1, "a", "c", 1), (1, "c", "d", 2), (2, "-", "z", 0)]
+
+
+def test_requests_are_checked(spark):
+    good = '{"parameterObject":{"valueConstraints":{"ontologies":[],"branches":[],"valueSets":[%s],"classes":[%s],"actions":[%s]}}}'
+    bodies = ["{}", None, "no json", good % ("", "", ""), good % ('{"uri":"u","vsCollection":"ZZ"}', "", ""), good % ("", '{"uri":"u","prefLabel":"p","type":"t","source":"s","odd":1}', ""), good % ("", "", '{"action":"move","termUri":"t","type":"x","source":"s"}')]
+    df = spark.createDataFrame(list(enumerate(bodies)), "request_id int, body string")
+    got = {r.request_id: (r.status, r.violations) for r in validate.check_requests(df, ["VSA"]).collect()}
+    assert [got[i][0] for i in range(7)] == [422, 400, 400, 200, 422, 400, 422]
+    assert got[0][1] == ["parameterObject"] and got[4][1] == ["valueSets.vsCollection"] and got[6][1] == ["actions.to"]
