@@ -275,3 +275,35 @@ def test_pipeline(spark, table):
     texts = docs.toPandas()
     want = sorted(hashlib.sha256(t.encode()).hexdigest() for t in texts.text)
     assert sorted(out.decoded_sha256) == want and not pd.isna(out.n_tokens).any()
+
+
+def test_line_groups_are_those_of_all_pairs(spark, table):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    docs = table.select("doc_id", "text")
+    hashed = lines.simhash_lines(docs)
+    sims = {r.norm_hash: r.sim for r in hashed.collect()}
+    words = {r.norm_hash: r.norm.split(" ") for r in lines.exploded(docs).collect()}
+    root = {k: k for k in sims}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(sims)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= lines.MAX_BITS and 5 * distance(words[a], words[b]) <= max(len(words[a]), len(words[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    size = collections.Counter(find(k) for k in keys)
+    want = {k: find(k) for k in keys if size[find(k)] > 1}
+    assert want and want == {r.node: r.root for r in lines.line_groups(hashed, docs, lines.MAX_BITS, lines.BLOCKS, lines.SIMILARITY).collect()}
