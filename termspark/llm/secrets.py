@@ -77,8 +77,9 @@ def scan(docs: DataFrame) -> DataFrame:
 def linked(found: DataFrame, window: int = WINDOW) -> DataFrame:
     """key and `linked`: the weak spans with complementary parts in their scope.
 
-    An interval join: every part is dealt to the bin of its start, a weak span looks into the bins that its scope touches.
-    Spans of a kind don't overlap, so a bin holds a bounded number of them, however many a document has.
+    An interval join: every part is dealt to the bins of its start and of its end, a weak span looks into the bins that its
+    scope touches. A part in scope ends in it (before the span) or starts in it (behind the span), however long it is. Spans
+    of a kind don't overlap, so a bin holds a bounded number of them, however many a document has.
     """
     role = F.element_at(F.array(*[F.lit(ROLES[k]) for k in KINDS]), F.col("s.kind") + 1)
     parts = (
@@ -88,7 +89,7 @@ def linked(found: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     weak = parts.where(F.col("s.kind") >= len(BASE))
     looks = weak.select("key", "s", "role", F.explode(F.sequence(F.floor((F.col("s.start") - window) / window), F.floor((F.col("s.end") + window) / window))).alias("bin"))
-    offers = parts.select("key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("role").alias("other"), F.floor(F.col("s.start") / window).alias("bin")).distinct()
+    offers = parts.select("key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("role").alias("other"), F.explode(F.array_distinct(F.array(F.floor(F.col("s.start") / window), F.floor(F.col("s.end") / window)))).alias("bin")).distinct()
     apart = F.greatest(F.col("start") - F.col("s.end"), F.col("s.start") - F.col("end"))
     near = looks.join(offers, ["key", "bin"]).where((F.col("other") != F.col("role")) & (apart <= window) & (apart >= 0))
     met = near.groupBy("key", "s", "role").agg(F.max(F.col("other") == "id").alias("id"), F.max(F.col("other") == "secret").alias("secret"))

@@ -307,3 +307,18 @@ def test_line_groups_are_those_of_all_pairs(spark, table):
     size = collections.Counter(find(k) for k in keys)
     want = {k: find(k) for k in keys if size[find(k)] > 1}
     assert want and want == {r.node: r.root for r in lines.line_groups(hashed, docs, lines.MAX_BITS, lines.BLOCKS, lines.SIMILARITY).collect()}
+
+
+@pytest.mark.parametrize("size", [30, 199, 200, 201, 390, 500, 5000])
+def test_secrets_link_to_long_parts(spark, size):
+    """All gaps around the window, before and behind a long part, against the rule on the spans themselves."""
+    token = ("Ab3" * size)[:size]
+    gaps = [0, 1, 150, 198, 199, 200, 260]
+    texts = [f"{token} {' ' * g}user=bob" for g in gaps] + [f"user=bob {' ' * g}{token}" for g in gaps]
+    rows = [(i, " " * (37 * i % 211) + t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r["all"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", secrets.joined(F.col("all")).alias("all")).collect()}
+    for i, text in rows:
+        near = gaps[i % len(gaps)] + 1 <= secrets.WINDOW
+        a, b = text.index(token), text.index("user=bob")
+        want = sorted([(a, f"opaque:{a}:{a + size}"), (b, f"ident:{b}:{b + 8}")]) if near else []
+        assert got[i] == ",".join(x for _, x in want), (i, size)
