@@ -25,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from termspark.llm.common import cut, partitions, table, text_batches
+from termspark.llm.common import cut, partitions, row_key, table, text_batches
 from termspark.llm.graph import connected_components
 
 #: Fixed value: the generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the (23, 12) Golay code.
@@ -36,6 +37,12 @@ GENERATOR = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 3
 _CHUNK = 1 << 16
+#: The pipeline's stage: Jaccard of the sets of shingles, and the MinHash bands that gather candidates. A pair at 0.8 shares a
+#: band with a probability of 0.99993.
+SIMILARITY = 0.8
+BANDS, BAND_ROWS = 24, 5
+_SALTS, _FACTORS = np.random.default_rng(8).integers(0, 2**64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+_FACTORS |= np.uint64(1)
 
 
 def _remainder(word: int) -> int:
@@ -189,12 +196,112 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _hashes(text: bytes, shingle: int) -> tuple[bytes, np.ndarray]:
+    """The lower-case words with single spaces between, and the distinct hashes of their shingles (fewer words: all as one)."""
+    words = text.lower().split()
+    take = min(shingle, len(words))
+    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + take]), 42) for i in range(len(words) - take + 1)} if words else set()
+    return b" ".join(words), np.fromiter(found, dtype=np.uint64, count=len(found))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band: a hash of the band's BAND_ROWS minima. Sets of Jaccard j share a key with 1 - (1 - j ** BAND_ROWS) ** BANDS."""
+    least = np.full(len(_SALTS), 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 512):
+        mixed = (hashes[at : at + 512, None] ^ _SALTS) * _FACTORS
+        np.minimum(least, ((mixed ^ (mixed >> np.uint64(29))) * _FACTORS).min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(least.reshape(BANDS, BAND_ROWS))], dtype=np.uint64)
+
+
+def _sketches(docs: DataFrame, carry: list[str], shingle: int) -> DataFrame:
+    """The carried columns, node (a hash of the words), fp, n (distinct shingles) and bands (none without words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "text"):
+            texts = [b or b"" for b in batch.column("text").cast(pa.binary()).to_pylist()]
+            rows = [_hashes(t, shingle) for t in texts]
+            node = np.array([xxhash.xxh64_intdigest(w) for w, _ in rows], dtype=np.uint64)
+            fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
+            bands = pa.array([band_keys(h).view(np.int64) if len(h) else [] for _, h in rows], pa.list_(pa.int64()))
+            made = [pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), pa.array([len(h) for _, h in rows], pa.int32()), bands]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *made], names=[*carry, "node", "fp", "n", "bands"])
+
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(*carry, "text").mapInArrow(run, f"{fields}, node bigint, fp bigint, n int, bands array<bigint>")
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node and shingles, the distinct hashes, of (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "text"):
+            sets = pa.array([_hashes(b or b"", shingle)[1].view(np.int64) for b in batch.column("text").cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """key (as row_key of doc_id and text) of each row, and first: the smallest key of its component.
+
+    Components are reached over pairs whose sets of shingles have a Jaccard of `similarity` or more. Candidates share a MinHash
+    band or have SimHashes within three bits; each is verified on the sets themselves. Texts of equal words are one node.
+    Pairs within a bucket grow with its square, so they are not all formed: every node is verified against leaders of its
+    buckets first, then only nodes of a bucket that are in different groups still are paired.
+    """
+    spark = docs.sparkSession
+    keyed = docs.select(row_key("doc_id", "text").alias("key"), "text")
+    prints = cut(_sketches(keyed.select("key.id", "key.h0", "text"), ["id", "h0"], shingle)).withColumn("key", F.struct("id", "h0"))
+    nodes = cut(prints.groupBy("node").agg(F.min("key").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands")))
+    me = F.struct("node", "n").alias("me")
+    blocks = nodes.select(me, F.explode("bands").alias("block")).union(nodes.select(me, F.xxhash64(F.lit("fp"), "fp")))
+    bucket = W.partitionBy("block")
+    held = blocks.select("block", "me", F.min("me").over(bucket).alias("leader"), F.count("*").over(bucket).alias("held"))
+    crowded = cut(held.where("held > 1").drop("held"))
+    one = cut(nodes.groupBy("fp").agg(F.min(me).alias("me")))
+    apart = links(one.select("fp").repartition(partitions(spark)))
+    by_bits = cut(apart.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b").where(_sizes_allow("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    ends = crowded.select("me.node").union(by_bits.select("a")).union(by_bits.select("b")).distinct()
+    fetched = cut(nodes.join(ends, "node", "left_semi").select("node", F.col("first").alias("key")))
+    sets = cut(_shingle_sets(keyed.join(fetched, "key"), shingle).dropDuplicates(["node"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+        sized = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
+        return cut(sized.where(F.col("shared") >= F.lit(similarity) * (F.col("sizes") - F.col("shared"))).select("a", "b"))
+
+    led = crowded.where("me.node <> leader.node").where(_sizes_allow("me", "leader", similarity)).select(F.col("me.node").alias("a"), F.col("leader.node").alias("b")).distinct()
+    found = verified(led.groupBy("a").agg(F.min("b").alias("b")))
+    roots = cut(connected_components(found))
+    found = cut(found.union(verified(_across(led, roots))))
+    roots = cut(connected_components(found))
+    grouped = crowded.join(roots, F.col("me.node") == F.col("node"), "left").select("block", "me", F.coalesce("root", "me.node").alias("group"))
+    inside = grouped.toDF("block", "x", "group_x").join(grouped.toDF("block", "y", "group_y"), "block").where((F.col("group_x") < F.col("group_y")) & _sizes_allow("x", "y", similarity))
+    inside = inside.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    rest = inside.union(_across(by_bits, roots).select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    roots = connected_components(found.union(verified(rest)))
+    rooted = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = cut(rooted.select("node", "root").join(least, "root").select("node", "first"))
+    return prints.select("key", "node").join(named, "node").select("key", "first")
+
+
+def _sizes_allow(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of these sizes can have that Jaccard; none that has it is lost."""
+    return F.least(f"{a}.n", f"{b}.n") >= F.lit(similarity) * F.greatest(f"{a}.n", f"{b}.n")
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different groups."""
+    both = pairs.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies: that with the smallest doc_id (one, if its row is repeated).
 
     Documents without a doc_id cannot be told apart and stay.
     """
     named = docs.where("doc_id IS NOT NULL")
-    found = near_duplicates(named.select("doc_id", "text"), shingle=5)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    keep = similar_documents(named).where("key = first").select(F.col("key.id").alias("doc_id")).distinct()
     return named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))

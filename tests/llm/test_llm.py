@@ -322,3 +322,36 @@ def test_secrets_link_to_long_parts(spark, size):
         a, b = text.index(token), text.index("user=bob")
         want = sorted([(a, f"opaque:{a}:{a + size}"), (b, f"ident:{b}:{b + 8}")]) if near else []
         assert got[i] == ",".join(x for _, x in want), (i, size)
+
+
+def _near_groups(rows, similarity=0.8):
+    """Smallest id of the component of each (id, text) over all pairs with that Jaccard of five-word shingles."""
+    sets = []
+    for _, t in rows:
+        w = [x.lower() for x in _words(t)]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if group[i] != group[j] and len(x & y) >= similarity * len(x | y):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for (d, _), g in zip(rows, group, strict=True):
+        least[g] = min(least.get(g, d), d)
+    return {d: least[g] for (d, _), g in zip(rows, group, strict=True)}
+
+
+def test_near_duplicates_of_the_stage_are_those_of_all_pairs(spark, table):
+    rng = np.random.default_rng(11)
+    rows = [(r.doc_id, r.text) for r in table.where("doc_id < 150").select("doc_id", "text").collect()]
+    for i in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 100 + i)]
+        rows.append((1000 + 10 * i, " ".join(words)))
+        for k in range(1, 4):
+            for at in rng.integers(0, len(words), k):
+                words[at] = "changed"
+            rows.append((1000 + 10 * i + k, " ".join(words)))
+    want = _near_groups(rows)
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.doc_id for r in simhash.stage(spark, docs, SF).select("doc_id").collect()]
+    assert sorted(got) == sorted(set(want.values())) and 1001 not in got
