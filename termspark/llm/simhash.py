@@ -298,10 +298,11 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: that with the smallest doc_id (one, if its row is repeated).
+    """Keep one document of each group of near copies: that with the smallest doc_id and text hash (one, if its row is repeated).
 
-    Documents without a doc_id cannot be told apart and stay.
+    Different texts that share a doc_id are documents of their own. Documents without a doc_id cannot be told apart and stay.
     """
     named = docs.where("doc_id IS NOT NULL")
-    keep = similar_documents(named).where("key = first").select(F.col("key.id").alias("doc_id")).distinct()
-    return named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    keep = similar_documents(named).where("key = first").select("key").distinct()
+    kept = named.withColumn("_row_key", row_key("doc_id", "text")).join(keep.toDF("_row_key"), "_row_key", "left_semi")
+    return kept.dropDuplicates(["_row_key"]).drop("_row_key").unionByName(docs.where("doc_id IS NULL"))

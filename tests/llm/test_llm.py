@@ -355,3 +355,9 @@ def test_near_duplicates_of_the_stage_are_those_of_all_pairs(spark, table):
     docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [r.doc_id for r in simhash.stage(spark, docs, SF).select("doc_id").collect()]
     assert sorted(got) == sorted(set(want.values())) and 1001 not in got
+
+
+def test_different_texts_of_one_doc_id_stay(spark):
+    texts = [(1, " ".join(f"a{i}" for i in range(60))), (1, " ".join(f"b{i}" for i in range(60))), (2, " ".join(f"a{i}" for i in range(60)))]
+    docs = spark.createDataFrame([*texts, texts[0]], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.stage(spark, docs, SF).collect())) == sorted(texts[:2])
