@@ -361,3 +361,10 @@ def test_different_texts_of_one_doc_id_stay(spark):
     texts = [(1, " ".join(f"a{i}" for i in range(60))), (1, " ".join(f"b{i}" for i in range(60))), (2, " ".join(f"a{i}" for i in range(60)))]
     docs = spark.createDataFrame([*texts, texts[0]], "doc_id long, text string")
     assert sorted(map(tuple, simhash.stage(spark, docs, SF).collect())) == sorted(texts[:2])
+
+
+def test_lines_count_edits_in_characters(spark):
+    """Swapped words have equal SimHashes; they are 2 edits of 6 words, but few of the characters."""
+    rows = [(1, "a b extraordinarily considerable circumstances notwithstanding"), (2, "b a extraordinarily considerable circumstances notwithstanding"), (3, "considerable notwithstanding extraordinarily b a circumstances")]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
