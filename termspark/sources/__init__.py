@@ -6,6 +6,7 @@ queries that results are compared with.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -104,16 +105,30 @@ def with_views(sql: str, *names: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the session names in spark.checkpoint.dir; a temporary one if none is named."""
+    """A new folder below the one that the session names in spark.checkpoint.dir.
+
+    If none is named, a session on one machine gets a temporary one, for tests; elsewhere executors would not share it.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.mkdtemp(prefix="spark-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/termspark-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, so that its lineage ends there."""
+    """Write df to the shared folder and read it back: its lineage ends there, and a lost executor costs no recomputation."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `cut` has written and that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
