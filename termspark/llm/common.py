@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, row keys, byte-limited Arrow batches."""
+"""What the operators of this subpackage share: reading tables, bounded broadcasts, row keys, byte-limited Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termspark.sources import cut, discard, shared_folder
+
+__all__ = ["BROADCAST_BYTES", "WORD", "bounded", "cut", "discard", "partitions", "row_key", "shared_folder", "table", "text_batches"]
+
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR. bytes.split() splits at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,20 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; a temporary one if none is named (tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/termspark-{uuid.uuid4().hex}"
+#: A side of a join is broadcast if its rows take so many bytes at most; beyond that the join is shuffled.
+BROADCAST_BYTES = 48 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there, and a lost executor costs no recomputation."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def bounded(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """df, marked for broadcast if the sum of row_bytes over its rows, which is computed, is BROADCAST_BYTES at most."""
+    held = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
 def partitions(spark: SparkSession) -> int:

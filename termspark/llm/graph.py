@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspark.llm.common import cut
+from termspark.llm.common import cut, discard
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges (a, b) to (node, root): root is the smallest node that can be reached. Nodes without edges do not appear.
+def connected_components(edges: DataFrame) -> DataFrame:
+    """edges (a, b) to (node, root), written: root is the smallest node that can be reached. Nodes without edges do not appear.
 
-    Alternates large-star and small-star steps; every node ends up pointing at its root. The number of rounds grows with
-    the logarithm of the component's size. Every round is written to the shared folder. Self-loops and repeated edges are
-    harmless; an empty table gives an empty result.
+    Alternates large-star and small-star steps until nothing changes; every node ends up pointing at its root. The number of
+    rounds grows with the logarithm of the component's size. Every round is written to the shared folder, and the one before
+    deleted. Self-loops and repeated edges are harmless; an empty table gives an empty result.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -32,10 +32,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     now = cut(edges.select("a", "b").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = mark(now)
-    for _ in range(max_rounds if was[0] else 0):
+    while was[0]:
         up = star(both(now), True).where("a != b").distinct()
-        now = cut(star(up.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False).where("a != b").distinct())
-        if (at := mark(now)) == was:
+        then = cut(star(up.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False).where("a != b").distinct())
+        discard(now)
+        now, at = then, mark(then)
+        if at == was:
             break
         was = at
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+    out = cut(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct()))
+    discard(now)
+    return out

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from termspark.llm.archives import commit, committed, new_file, store
-from termspark.llm.common import shared_dir, table, text_batches
+from termspark.llm.common import shared_folder, table, text_batches
 
 WIDTH = 64
 #: PNG's signature, and the header of a greyscale image of eight bits.
@@ -229,4 +229,4 @@ def media_column(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe(media_column(table(spark, sf_dir, "documents"), shared_dir(spark)))
+    return describe(media_column(table(spark, sf_dir, "documents"), shared_folder(spark)))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termspark.llm.archives import commit, committed, new_file, store
-from termspark.llm.common import shared_dir, table, text_batches
+from termspark.llm.common import shared_folder, table, text_batches
 
 #: The magic number of the skippable frame that holds a dictionary, and that of Zstandard's frames.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -236,7 +236,7 @@ def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = archive_pages(table(spark, sf_dir, "pages"), shared_dir(spark))
+    found = archive_pages(table(spark, sf_dir, "pages"), shared_folder(spark))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

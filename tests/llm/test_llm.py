@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -10,6 +11,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -185,11 +187,11 @@ def test_bpe(spark, docs):
 
 
 def test_lines(spark, table):
-    norm = lambda s: re.sub("[^0a-zà-ÿ]+", " ", re.sub("[0-9]", "0", s.lower())).strip(" ")
-    rows = [(1, "Alpha beta gamma delta one\nsame line\n\nunique a"), (2, "SAME, line!\nalpha beta gamma delta one."), (3, None), (4, ""), (5, "same line"), (5, "same line"), (None, "same line 7\nsame line 8"), (6, "last\n\n---")]
+    norm = _norm_line
+    rows = [(1, "Alpha beta gamma delta one\nsame line\n\nunique a"), (2, "SAME, line!\nalpha beta gamma delta one."), (3, None), (4, ""), (5, "same line"), (5, "same line"), (None, "row 71 of 2019\nrow 93 of 2024"), (6, "last\n\n---")]
     got = lines.dedup_lines(spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, n_lines int, key int")).collect()
     found = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=str)
-    want = [(1, rows[0][1], 4, 0), (2, "", 2, 2), (3, None, 0, 0), (4, "", 1, 0), (5, "", 1, 1), (5, "", 1, 1), (None, "same line 7", 2, 1), (6, rows[-1][1], 3, 0)]
+    want = [(1, rows[0][1], 4, 0), (2, "", 2, 2), (3, None, 0, 0), (4, "", 1, 0), (5, "", 1, 1), (5, "", 1, 1), (None, rows[6][1], 2, 0), (6, rows[-1][1], 3, 0)]
     assert found == sorted(want, key=str)
     some = table.where("doc_id < 60").select("doc_id", "text")
     texts = {r.doc_id: r.text.split("\n") for r in some.collect()}
@@ -277,36 +279,102 @@ def test_pipeline(spark, table):
     assert sorted(out.decoded_sha256) == want and not pd.isna(out.n_tokens).any()
 
 
-def test_line_groups_are_those_of_all_pairs(spark, table):
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    docs = table.select("doc_id", "text")
-    hashed = lines.simhash_lines(docs)
-    sims = {r.norm_hash: r.sim for r in hashed.collect()}
-    words = {r.norm_hash: r.norm.split(" ") for r in lines.exploded(docs).collect()}
-    root = {k: k for k in sims}
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def _norm_line(s):
+    return regex.sub(r"[^\p{L}\p{N}\p{M}]+", " ", s.lower()).strip(" ")
+
+
+def _line_keys(norm):
+    """The pigeonhole keys of a normalised line, unit by unit."""
+    units = norm.split(" ")
+    if len(units) < lines.HALVED:
+        units = [part for w in units for part in (w[: (len(w) + 1) // 2] + "-", "-" + w[(len(w) + 1) // 2 :])]
+    held = [[] for _ in range(lines.BLOCKS)]
+    for u in units:
+        h = xxhash.xxh64_intdigest(u.encode(), 42)
+        held[(h >> 32) * 5 >> 32].append(h)
+    part = []
+    for k, hs in enumerate(held):
+        bits = [[h >> (12 * k + i) & 1 for h in hs] for i in range(12)]
+        part.append((len(hs), tuple(2 * sum(b) > len(hs) for b in bits), tuple(sum(b) % 2 for b in bits[:8])))
+    keys = set()
+    for many, fits in ((3, len(units) < 24), (2, len(units) >= 20)):
+        keys |= {c + tuple(part[k] for k in c) for c in itertools.combinations(range(5), many) if fits and sum(part[k][0] for k in c) >= 3}
+    return keys
+
+
+def _lines_kept(rows):
+    """doc_id to text: all pairs of lines that share a key, in plain Python."""
+    norms, first = {}, {}
+    for d, t in rows:
+        for i, s in enumerate((t or "").split("\n")):
+            if n := _norm_line(s):
+                norms[n] = min(norms.get(n, (d, i)), (d, i))
+    root = {n: n for n in norms}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    keys = sorted(sims)
-    for i, a in enumerate(keys):
-        for b in keys[i + 1 :]:
-            if ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= lines.MAX_BITS and 5 * distance(words[a], words[b]) <= max(len(words[a]), len(words[b])):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    size = collections.Counter(find(k) for k in keys)
-    want = {k: find(k) for k in keys if size[find(k)] > 1}
-    assert want and want == {r.node: r.root for r in lines.line_groups(hashed, docs, lines.MAX_BITS, lines.BLOCKS, lines.SIMILARITY).collect()}
+    by_key = collections.defaultdict(list)
+    for n in norms:
+        for key in _line_keys(n):
+            by_key[key].append(n)
+    for bucket in by_key.values():
+        for a, b in itertools.combinations(bucket, 2):
+            if find(a) != find(b) and abs(len(a) - len(b)) <= (most := max(len(a), len(b)) // 5) and _distance(a, b) <= most:
+                root[find(a)] = find(b)
+    for n, place in norms.items():
+        first[find(n)] = min(first.get(find(n), place), place)
+    return {d: "\n".join(s for i, s in enumerate(t.split("\n")) if not (n := _norm_line(s)) or first[find(n)] == (d, i)) for d, t in rows}
+
+
+def test_lines_are_those_of_all_pairs(spark, table):
+    rng = np.random.default_rng(3)
+    rows = [(r.doc_id, r.text) for r in table.where("doc_id < 40 AND length(text) < 3000").select("doc_id", "text").collect()]
+    vocabulary = sorted({w for _, t in rows for w in _norm_line(t).split(" ")})
+    for i in range(60):
+        words = [vocabulary[x] for x in rng.integers(0, len(vocabulary), 2 + i % 50)]
+        rows.append((1000 + 10 * i, " ".join(words)))
+        for k in range(1, 4):
+            at = rng.integers(0, len(words))
+            words[at] = [words[at][1:] + "x", words[at] + " more", "y"][k - 1]
+            rows.append((1000 + 10 * i + k, " ".join(words)))
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _lines_kept(rows) and sum(t == "" for t in got.values()) > 60
+
+
+@pytest.mark.parametrize("width", [10, 20, 60])
+def test_lines_with_one_letter_changed_are_found(spark, width):
+    rng = np.random.default_rng(width)
+    rows = []
+    for k in range(100):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(width)]
+        rows.append((2 * k, " ".join(words)))
+        at = rng.integers(0, width)
+        words[at] = words[at][:-1] + ("q" if words[at][-1] != "q" else "z")
+        rows.append((2 * k + 1, " ".join(words)))
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").select("doc_id").collect()
+    assert all(r.doc_id % 2 for r in got) and len(got) >= 90
+
+
+def test_op8_query(spark, tmp_path):
+    """Nulls, empty and very long lines, repeated rows and a clashing column, through the registered query."""
+    long = " ".join(f"w{i}" for i in range(40000))
+    rows = [(1, long), (2, long.replace("w77 ", "v77 ")), (3, None), (3, None), (4, ""), (None, "one two three four five six\n1 2 3"), (5, "one two three four five six")]
+    spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, gone int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in queries.QUERIES["op8_lines"](spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(1, 1, 0, long), (2, 1, 1, ""), (3, 0, 0, None), (3, 0, 0, None), (4, 1, 0, ""), (None, 2, 0, rows[5][1]), (5, 1, 1, "")], key=str)
 
 
 @pytest.mark.parametrize("size", [30, 199, 200, 201, 390, 500, 5000])
