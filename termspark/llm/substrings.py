@@ -7,7 +7,11 @@ repeat if its anchor does, and one gram in ten or so is an anchor.
 The windows that choose one anchor lie side by side and cover a *block* of words. Anchors that repeat are extended both
 ways in two steps: where the whole block repeats, all its windows do (the inside of a copy); else (the edges of a copy, and
 one block for each distinct surrounding) the windows themselves are compared by 128-bit hashes. Adjacent repeated windows
-make up the maximal repeats. Groups of copies are only ever counted, never paired.
+make up the maximal repeats.
+
+Documents are joined with what their anchors have in common, not with each other: blocks and windows are counted, which
+combines on the map side, and the counts over one are joined back. So a passage that very many documents share costs a row
+for each of its occurrences, in a join whose large partitions Spark splits, and no task gathers it.
 """
 
 from __future__ import annotations
@@ -18,13 +22,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from termspark.llm.common import table, text_batches
+from termspark.llm.common import bounded, cut, discard, table, text_batches
 
 LENGTH = 35
 _BATCH = 2 << 20
+#: A document: its doc_id and two hashes of its text.
+KEY = ["k0", "k1", "k2"]
+_KEY_TYPES = "k0 bigint, k1 bigint, k2 bigint"
 _U = np.uint64
 #: Odd multipliers of the two hash lanes.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -93,22 +99,22 @@ def _bytes(batch: pa.RecordBatch) -> list[bytes | None]:
 
 
 def find_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, block, k1, k2, first, windows of every anchor of the documents (k1, k2, text)."""
+    """anchor, block, the key, first, windows of every anchor of the documents (key and text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text", _BATCH):
             doc, first, windows, anchor, block = Words(_bytes(batch)).anchors(length)
             at = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), batch.column("k1").take(at), batch.column("k2").take(at), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32))],
-                names=["anchor", "block", "k1", "k2", "first", "windows"],
+                [pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), *[batch.column(k).take(at) for k in KEY], pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32))],
+                names=["anchor", "block", *KEY, "first", "windows"],
             )
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "anchor bigint, block bigint, k1 bigint, k2 int, first int, windows int")
+    return docs.select(*KEY, "text").mapInArrow(run, f"anchor bigint, block bigint, {_KEY_TYPES}, first int, windows int")
 
 
 def find_windows(docs: DataFrame, length: int) -> DataFrame:
-    """h1, h2, k1, k2, at, open of the windows of the blocks in `probes` of each document."""
+    """h1, h2, the key, at, open of the windows of the blocks in `probes` of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text", _BATCH):
@@ -122,9 +128,9 @@ def find_windows(docs: DataFrame, length: int) -> DataFrame:
             rows = pa.array(doc, pa.int64())
             start = words.first[np.array(doc, dtype=np.int64)] + np.array(at, dtype=np.int64)
             lanes = [pa.array(words.hashes(start, start + length, k).view(np.int64)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*lanes, batch.column("k1").take(rows), batch.column("k2").take(rows), pa.array(at, pa.int32()), pa.array(open_, pa.bool_())], names=["h1", "h2", "k1", "k2", "at", "open"])
+            yield pa.RecordBatch.from_arrays([*lanes, *[batch.column(k).take(rows) for k in KEY], pa.array(at, pa.int32()), pa.array(open_, pa.bool_())], names=["h1", "h2", *KEY, "at", "open"])
 
-    return docs.mapInArrow(run, "h1 bigint, h2 bigint, k1 bigint, k2 int, at int, open boolean")
+    return docs.mapInArrow(run, f"h1 bigint, h2 bigint, {_KEY_TYPES}, at int, open boolean")
 
 
 def cover(n: int, length: int, blocks: list[dict] | None, windows: list[int] | None) -> np.ndarray:
@@ -167,24 +173,28 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, spans, kept: the maximal repeats of `length` words or more (word offsets, end exclusive) and the rest.
 
     A window repeats if its words also start anywhere else, in the same document or another; every occurrence is removed.
-    A null text has no words; documents shorter than a window are kept whole; repeated rows repeat each other. A null doc_id
-    is allowed, and equal doc_ids with different texts do not mix. Other columns are ignored.
+    A null text has no words; documents shorter than a window are kept whole; repeated rows repeat each other. Documents are
+    told apart by doc_id (which may be null) and 128 bits of hashes of the text. Other columns are ignored; an empty table
+    gives no rows.
     """
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("k1"), F.hash(F.coalesce("text", F.lit("\x00"))).alias("k2"))
-    anchors = find_anchors(keyed, length)
-    same = W.partitionBy("anchor", "block")
-    place = F.struct("k1", "k2", "first")
-    counted = anchors.select("*", F.count("*").over(same).alias("alike"), (F.min(place).over(same) == place).alias("foremost"))
-    repeated = counted.select("*", F.count("*").over(W.partitionBy("anchor")).alias("all")).where("all > 1")
-    flags = repeated.groupBy("k1", "k2").agg(
+    text = F.coalesce("text", F.lit("\x00"))
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("k0"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(9), text).alias("k2"))
+    seeds = cut(find_anchors(keyed, length))
+    again = seeds.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high")).where("n > 1")
+    again = cut(again.select("anchor", (F.col("low") != F.col("high")).alias("edge")))
+    met = cut(seeds.join(bounded(again, F.lit(32)), "anchor").withColumn("spot", F.xxhash64(*KEY, "first")))
+    alike = met.groupBy("anchor", "block").agg(F.count("*").alias("alike"), F.min("spot").alias("one"))
+    flags = met.join(alike, ["anchor", "block"]).groupBy(*KEY).agg(
         F.collect_list(F.when(F.col("alike") > 1, F.struct("first", "windows"))).alias("blocks"),
-        F.collect_set(F.when((F.col("all") > F.col("alike")) & F.col("foremost"), F.struct("first", "windows", (F.col("alike") == 1).alias("open")))).alias("probes"),
+        F.collect_set(F.when(F.col("edge") & (F.col("spot") == F.col("one")), F.struct("first", "windows", (F.col("alike") == 1).alias("open")))).alias("probes"),
     )
-    probed = keyed.join(flags.where(F.size("probes") > 0).select("k1", "k2", "probes"), ["k1", "k2"])
-    windows = find_windows(probed.select("k1", "k2", "doc_id", "text", "probes"), length)
-    met = windows.select("*", F.count("*").over(W.partitionBy("h1", "h2")).alias("n")).where("open AND n > 1")
-    marks = met.groupBy("k1", "k2").agg(F.collect_set("at").alias("marks"))
-    found = keyed.join(flags.select("k1", "k2", "blocks"), ["k1", "k2"], "left").join(marks, ["k1", "k2"], "left")
+    flags = cut(flags)
+    probed = keyed.join(flags.where(F.size("probes") > 0).select(*KEY, "probes"), KEY)
+    windows = cut(find_windows(probed.select(*KEY, "text", "probes"), length))
+    repeated = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    marks = cut(windows.where("open").join(repeated, ["h1", "h2"]).groupBy(*KEY).agg(F.collect_set("at").alias("marks")))
+    discard(seeds, again, met, windows)
+    found = keyed.join(flags.select(*KEY, "blocks"), KEY, "left").join(marks, KEY, "left")
     return remove_repeats(found, length)
 
 
