@@ -32,6 +32,8 @@ KINDS = [k for k, *_ in (*BASE, *WEAK)]
 #: Which role a kind plays in a credential.
 ROLES = {"access": "id", "ident": "id", "assign": "secret", "hex": "secret", "opaque": "secret", "endpoint": "endpoint"}
 WINDOW = 200
+#: Matches of a text whose offsets are added up at a time.
+CHUNK = 64
 
 
 def marked(text: Column, head: str, body: str) -> Column:
@@ -40,8 +42,16 @@ def marked(text: Column, head: str, body: str) -> Column:
 
 
 def spans(parts: Column, kind: int, least: int) -> Column:
-    """Array of (start, end, kind) of the matches whose body has `least` characters; ends are exclusive."""
-    first = F.struct(F.length(parts[0]).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int>>").alias("found"))
+    """Array of (start, end, kind) of the matches whose body has `least` characters; ends are exclusive.
+
+    Parts are taken in chunks: where each chunk starts comes from the chunks' lengths, and within a chunk spans are appended
+    to a short array. Appending all to one array would copy it for every match.
+    """
+    chunks = F.transform(F.sequence(F.lit(2), F.size(parts), F.lit(CHUNK)), lambda i: F.slice(parts, i, CHUNK))
+    length = lambda n, part: n + F.length(part) - 2
+    sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), length))
+    begins = F.aggregate(sizes, F.array(F.length(parts[0])), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
 
     def step(acc: Column, part: Column) -> Column:
         before = F.length(F.substring_index(part, "\x02", 1))
@@ -50,7 +60,8 @@ def spans(parts: Column, kind: int, least: int) -> Column:
         found = F.when(to_end - before >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
         return F.struct((acc["at"] + F.length(part) - 2).alias("at"), found.alias("found"))
 
-    return F.when(F.size(parts) > 1, F.aggregate(F.slice(parts, 2, F.size(parts) - 1), first, step, lambda acc: acc["found"])).otherwise(first["found"])
+    each = F.zip_with(chunks, F.slice(begins, F.lit(1), F.size(chunks)), lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("found")), step, lambda acc: acc["found"]))
+    return F.when(F.size(parts) > 1, F.flatten(each)).otherwise(none)
 
 
 def joined(found: Column) -> Column:

@@ -436,3 +436,51 @@ def test_lines_count_edits_in_characters(spark):
     rows = [(1, "a b extraordinarily considerable circumstances notwithstanding"), (2, "b a extraordinarily considerable circumstances notwithstanding"), (3, "considerable notwithstanding extraordinarily b a circumstances")]
     got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 1, 3: 0}
+
+
+def test_substrings_with_null_ids_and_equal_hashes(spark):
+    """Documents without an id, repeated rows, and a passage that very many documents share with different surroundings."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(None, f"a{i} " * 3 + passage + f" z{i}" * 4) for i in range(40)] + [(None, passage), (7, passage), (7, passage), (8, None), (None, ""), (9, passage[:150])]
+    rows += [(100 + i, " ".join(f"w{x}" for x in rng.integers(0, 30, 200))) for i in range(10)]
+    got = collections.Counter((r.doc_id, r.n_words, r.kept) for r in substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 35).collect())
+    assert got == collections.Counter(_repeats(rows, 35))
+
+
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    """Offsets of each of 20,000 matches of a text, in one chunk or in many."""
+    text = " ".join(f"token=abcdef{i:05d}" for i in range(20000))
+    found = secrets.find_secrets(spark.createDataFrame([(1, text), (2, text[:40])], "doc_id long, text string")).select("doc_id", "base").collect()
+    for r in found:
+        want = [(m.start(), m.end()) for m in re.finditer(r"token=[a-z0-9]{6,}", text if r.doc_id == 1 else text[:40])]
+        assert [(s.start, s.end) for s in r.base] == want
+
+
+def _linked_spans(text, window):
+    """The weak spans that complementary parts are near to, all pairs of spans of a text."""
+    spans = []
+    for k, (kind, head, body, least) in enumerate((*secrets.BASE, *secrets.WEAK)):
+        for m in re.finditer(head + body, text):
+            if len(m[2]) >= least:
+                spans.append((m.start(), m.end(), k, secrets.ROLES[kind]))
+    out = []
+    for s in spans:
+        if s[2] >= len(secrets.BASE):
+            near = {o[3] for o in spans if o[3] != s[3] and 0 <= max(o[0] - s[1], s[0] - o[1]) <= window}
+            if near >= ({"id", "secret"} - {s[3]} if s[3] == "endpoint" else {"secret"} if s[3] == "id" else {"id"}):
+                out.append(s[:3])
+    return sorted(out)
+
+
+def test_linked_secrets_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    pieces = ["user=bob", "token=" + "abc123" * 5, "token=" + "f0" * 5000, "http://a.b/c", "10.0.0.1", "AKIA" + "X" * 20, "abcdefghij1234567890x", "x" * 90, "words and more words", "client_id: 77aa"]
+    rows = [(i, " ".join(pieces[j] for j in rng.integers(0, len(pieces), 12))) for i in range(60)]
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = 0
+    for r in got:
+        found = sorted((s.start, s.end, s.kind) for s in r["all"] if s.kind >= len(secrets.BASE))
+        assert found == _linked_spans(rows[r.doc_id][1], secrets.WINDOW)
+        linked += len(found)
+    assert linked > 50
