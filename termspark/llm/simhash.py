@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from termspark.llm.common import cut, partitions, row_key, table, text_batches
+from termspark.llm.common import bounded, cut, discard, partitions, row_key, table, text_batches
 from termspark.llm.graph import connected_components
 
 #: Fixed value: the generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the (23, 12) Golay code.
@@ -249,41 +249,51 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIM
     Pairs within a bucket grow with its square, so they are not all formed: every node is verified against leaders of its
     buckets first, then only nodes of a bucket that are in different groups still are paired.
     """
-    spark = docs.sparkSession
+    spark, tables = docs.sparkSession, []
+
+    def kept(df: DataFrame) -> DataFrame:
+        tables.append(cut(df))
+        return tables[-1]
+
     keyed = docs.select(row_key("doc_id", "text").alias("key"), "text")
-    prints = cut(_sketches(keyed.select("key.id", "key.h0", "text"), ["id", "h0"], shingle)).withColumn("key", F.struct("id", "h0"))
-    nodes = cut(prints.groupBy("node").agg(F.min("key").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands")))
+    prints = kept(_sketches(keyed.select("key.id", "key.h0", "text"), ["id", "h0"], shingle)).withColumn("key", F.struct("id", "h0"))
+    nodes = kept(prints.groupBy("node").agg(F.min("key").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands")))
     me = F.struct("node", "n").alias("me")
     blocks = nodes.select(me, F.explode("bands").alias("block")).union(nodes.select(me, F.xxhash64(F.lit("fp"), "fp")))
     bucket = W.partitionBy("block")
     held = blocks.select("block", "me", F.min("me").over(bucket).alias("leader"), F.count("*").over(bucket).alias("held"))
-    crowded = cut(held.where("held > 1").drop("held"))
-    one = cut(nodes.groupBy("fp").agg(F.min(me).alias("me")))
+    crowded = kept(held.where("held > 1").drop("held"))
+    one = kept(nodes.groupBy("fp").agg(F.min(me).alias("me")))
     apart = links(one.select("fp").repartition(partitions(spark)))
-    by_bits = cut(apart.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b").where(_sizes_allow("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    by_bits = kept(apart.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b").where(_sizes_allow("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     ends = crowded.select("me.node").union(by_bits.select("a")).union(by_bits.select("b")).distinct()
-    fetched = cut(nodes.join(ends, "node", "left_semi").select("node", F.col("first").alias("key")))
-    sets = cut(_shingle_sets(keyed.join(fetched, "key"), shingle).dropDuplicates(["node"]))
+    fetched = kept(nodes.join(ends, "node", "left_semi").select("node", F.col("first").alias("key")))
+    sets = kept(_shingle_sets(keyed.join(bounded(fetched, F.lit(64)), "key"), shingle).dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
         sized = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
-        return cut(sized.where(F.col("shared") >= F.lit(similarity) * (F.col("sizes") - F.col("shared"))).select("a", "b"))
+        return kept(sized.where(F.col("shared") >= F.lit(similarity) * (F.col("sizes") - F.col("shared"))).select("a", "b"))
 
     led = crowded.where("me.node <> leader.node").where(_sizes_allow("me", "leader", similarity)).select(F.col("me.node").alias("a"), F.col("leader.node").alias("b")).distinct()
     found = verified(led.groupBy("a").agg(F.min("b").alias("b")))
-    roots = cut(connected_components(found))
-    found = cut(found.union(verified(_across(led, roots))))
-    roots = cut(connected_components(found))
+    roots = connected_components(found)
+    tables.append(roots)
+    found = kept(found.union(verified(_across(led, roots))))
+    roots = connected_components(found)
+    tables.append(roots)
     grouped = crowded.join(roots, F.col("me.node") == F.col("node"), "left").select("block", "me", F.coalesce("root", "me.node").alias("group"))
     inside = grouped.toDF("block", "x", "group_x").join(grouped.toDF("block", "y", "group_y"), "block").where((F.col("group_x") < F.col("group_y")) & _sizes_allow("x", "y", similarity))
     inside = inside.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     rest = inside.union(_across(by_bits, roots).select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
     roots = connected_components(found.union(verified(rest)))
+    tables.append(roots)
     rooted = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    named = cut(rooted.select("node", "root").join(least, "root").select("node", "first"))
-    return prints.select("key", "node").join(named, "node").select("key", "first")
+    named = kept(rooted.select("node", "root").join(least, "root").select("node", "first"))
+    out = cut(prints.select("key", "node").join(named, "node").select("key", "first"))
+    discard(*tables)
+    return out
 
 
 def _sizes_allow(a: str, b: str, similarity: float) -> Column:
@@ -303,6 +313,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Different texts that share a doc_id are documents of their own. Documents without a doc_id cannot be told apart and stay.
     """
     named = docs.where("doc_id IS NOT NULL")
-    keep = similar_documents(named).where("key = first").select("key").distinct()
-    kept = named.withColumn("_row_key", row_key("doc_id", "text")).join(keep.toDF("_row_key"), "_row_key", "left_semi")
-    return kept.dropDuplicates(["_row_key"]).drop("_row_key").unionByName(docs.where("doc_id IS NULL"))
+    found = similar_documents(named)
+    flags = found.groupBy("key").agg(F.max(F.col("key") != F.col("first")).alias("_gone"), F.count("*").alias("_rows")).where("_gone OR _rows > 1")
+    few = bounded(cut(flags.withColumnRenamed("key", "_row_key")), F.lit(64))
+    discard(found)
+    kept = named.withColumn("_row_key", row_key("doc_id", "text")).join(few, "_row_key", "left").where("coalesce(NOT _gone, true)")
+    once = kept.where("_rows IS NULL").unionByName(kept.where("_rows > 1").dropDuplicates(["_row_key"]))
+    return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
