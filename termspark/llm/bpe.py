@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -22,8 +23,10 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 from termspark.llm.common import table, text_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pre-tokens whose ids a task remembers; when full, it starts anew. Longer ones are not remembered.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 32
+#: Pre-tokens whose ids a worker remembers; when full, it starts anew. Longer ones are not remembered.
+REMEMBERED, REMEMBERED_LENGTH = 150_000, 32
+#: Bytes of texts that are encoded at a time.
+BATCH_BYTES = 2 << 20
 
 
 def byte_characters() -> list[str]:
@@ -59,7 +62,7 @@ def build_model(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encodes texts to ids and ids to bytes; one per task."""
+    """Encodes texts to ids and ids to bytes."""
 
     def __init__(self, tokens: list[bytes], pattern: str = public_tokenizers.PATTERN, model: bytes | None = None):
         self.tokens = tokens
@@ -91,6 +94,12 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def worker_codec(path: str) -> Codec:
+    """The codec of a Python worker, which its tasks share one after another."""
+    return Codec(read_ranks(path))
+
+
 def encode_documents(docs: DataFrame, path: str, carry: list[str] | None = None) -> DataFrame:
     """The carried columns (doc_id) with ids (binary: little-endian unsigned 32-bit integers) and decoded (binary).
 
@@ -100,8 +109,8 @@ def encode_documents(docs: DataFrame, path: str, carry: list[str] | None = None)
     carry = carry or ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(read_ranks(path))
-        for batch in text_batches(batches, "text"):
+        codec = worker_codec(path)
+        for batch in text_batches(batches, "text", BATCH_BYTES):
             ids = [codec.encode(t) if t else [] for t in batch.column("text").to_pylist()]
             columns = [pa.array([np.array(x, dtype="<u4").tobytes() for x in ids], pa.binary()), pa.array([codec.decode(x) for x in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *columns], names=[*carry, "ids", "decoded"])
