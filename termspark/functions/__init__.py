@@ -35,3 +35,8 @@ def preferred_label(label: Column, labels: Column, ld_id: Column) -> Column:
 
 def is_property_type(x: Column) -> Column:
     return short_type(x).isin("ObjectProperty", "AnnotationProperty", "DatatypeProperty")
+
+
+def acronym_of(uri: Column, base: str) -> Column:
+    """The acronym in the URI of an ontology below `base`, null for another URI."""
+    return F.when(F.startswith(uri, F.lit(base)), F.substring_index(F.substring(uri, F.lit(len(base) + 1), F.length(uri)), "/", 1))

@@ -24,14 +24,15 @@ def parents(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(edges.withColumnRenamed("child_id", "ld_id"), ["acronym", "ld_id"]).select("acronym", "ld_id", "parent_id", "ord")
 
 
-def descendants(edges: DataFrame, max_depth: int = 0) -> DataFrame:
+def descendants(edges: DataFrame, max_depth: int = 0, asked: DataFrame | None = None) -> DataFrame:
     """acronym, root_id, node_id, depth: everything below each node that has children, with the least depth; 0 is no limit.
 
-    Semi-naive: each round extends the pairs found last by one edge and keeps new ones. Cycles end, and a node is never its
+    With asked (acronym, root_id), only what is below these nodes, so that the work follows the request. Semi-naive: each round extends the pairs found last by one edge and keeps new ones. Cycles end, and a node is never its
     own descendant.
     """
-    step = edges.select("acronym", "parent_id", "child_id").distinct()
-    front = cut(step.select("acronym", F.col("parent_id").alias("root_id"), F.col("child_id").alias("node_id"), F.lit(1).alias("depth")).where("root_id <> node_id"))
+    step = cut(edges.select("acronym", "parent_id", "child_id").distinct())
+    begin = step.select("acronym", F.col("parent_id").alias("root_id"), F.col("child_id").alias("node_id"), F.lit(1).alias("depth")).where("root_id <> node_id")
+    front = cut(begin if asked is None else begin.join(asked.select("acronym", "root_id").distinct(), ["acronym", "root_id"], "left_semi"))
     seen, depth = front, 1
     while depth != max_depth and not front.isEmpty():
         depth += 1
@@ -42,6 +43,24 @@ def descendants(edges: DataFrame, max_depth: int = 0) -> DataFrame:
     return seen
 
 
+def provisional_roots(terms: DataFrame, edges: DataFrame, ontologies: DataFrame) -> DataFrame:
+    """acronym, ld_id, pref_label, has_children of the roots (H1): an ontology that has provisional classes only gives all of
+    them, without children; another one that is not flat gives its regular classes without a parent."""
+    kinds = terms.groupBy("acronym").agg(F.bool_and("is_provisional").alias("only_new"))
+    mixed = terms.join(kinds, "acronym")
+    new = mixed.where("only_new AND entity = 'class'").select("acronym", "ld_id", "pref_label", F.lit(False).alias("has_children"))
+    tops = roots(mixed.where("NOT only_new AND NOT is_provisional"), edges, ontologies)
+    parents_ = edges.select("acronym", F.col("parent_id").alias("ld_id"), F.lit(True).alias("has")).distinct()
+    return new.unionByName(tops.join(parents_, ["acronym", "ld_id"], "left").select("acronym", "ld_id", "pref_label", F.coalesce("has", F.lit(False)).alias("has_children")))
+
+
+def value_tree(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """H8: values (acronym, value_id) to value_id, set_id, node_id, on_path: the tree of the set that owns the value."""
+    first = edges.groupBy("acronym", F.col("child_id").alias("value_id")).agg(F.min_by("parent_id", "ord").alias("set_id"))
+    below = edges.select("acronym", F.col("parent_id").alias("set_id"), F.col("child_id").alias("node_id"))
+    return values.join(first, ["acronym", "value_id"]).join(below, ["acronym", "set_id"]).select("value_id", "set_id", "node_id", (F.col("node_id") == F.col("value_id")).alias("on_path"))
+
+
 def tree_to(targets: DataFrame, concepts: DataFrame, edges: DataFrame, ontologies: DataFrame, closure: DataFrame) -> DataFrame:
     """target_id, parent_id, node_id, on_path: all roots, and the children of each strict ancestor of the target."""
     above = targets.join(closure.withColumnRenamed("node_id", "target_id"), ["acronym", "target_id"]).select("acronym", "target_id", "root_id")

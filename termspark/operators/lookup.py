@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termspark.functions import is_provisional_id, short_id, uri_key
@@ -55,3 +56,25 @@ def set_of_value(values: DataFrame, edges: DataFrame) -> DataFrame:
     """values (acronym, value_id) with set_id: the first parent, null without one."""
     first = edges.groupBy("acronym", F.col("child_id").alias("value_id")).agg(F.min_by("parent_id", "ord").alias("set_id"))
     return values.join(first, ["acronym", "value_id"], "left")
+
+
+def resolve_ontologies(requests: DataFrame, ontologies: DataFrame) -> DataFrame:
+    """requests (request_id, acronym) with the record of the ontology and whether it is there (L4, S12); the catalog is a row an ontology."""
+    return requests.join(ontologies.withColumn("hit", F.lit(True)), "acronym", "left").withColumn("found", F.coalesce("hit", F.lit(False))).drop("hit")
+
+
+def all_value_sets(terms: DataFrame, ontologies: DataFrame) -> DataFrame:
+    """acronym, ld_id, pref_label, collection_ord, ord of every value set, provisional ones too."""
+    order = ontologies.select("acronym", F.col("ord").alias("collection_ord"))
+    return terms.where("entity = 'value_set'").join(order, "acronym").select("acronym", "ld_id", "pref_label", "collection_ord", "ord")
+
+
+def class_page(classes: DataFrame, page: int, size: int) -> DataFrame:
+    """acronym, pos, ld_id, pref_label, total: one page of the classes of each ontology, regular ones first.
+
+    The page is a constant, so that every task keeps its first rows only, before they are shuffled.
+    """
+    totals = classes.groupBy("acronym").agg(F.count("*").alias("total"))
+    rank = F.row_number().over(W.partitionBy("acronym").orderBy("is_provisional", "ord", "ld_id"))
+    placed = classes.withColumn("pos", rank).where(F.col("pos") <= page * size).where(F.col("pos") > (page - 1) * size)
+    return placed.join(totals, "acronym").select("acronym", (F.col("pos") - (page - 1) * size).cast("int").alias("pos"), "ld_id", "pref_label", "total")

@@ -51,3 +51,14 @@ def envelope(requests: DataFrame, totals: DataFrame, compat_next_page: bool = Tr
         F.when(page > 1, page - 1).alias("prev_page"),
         F.when(more, page + 1).alias("next_page"),
     )
+
+
+def page_within(rows: DataFrame, by: list[str], keys: list[str], page: int, size: int) -> DataFrame:
+    """rows with pos and total: one page of each group, in the order of the keys; a page past the end is page 1.
+
+    Only the first `page` pages of a group are ranked; each task drops the others before the shuffle.
+    """
+    totals = rows.groupBy(*by).agg(F.count("*").alias("total"))
+    first = rows.withColumn("pos", F.row_number().over(W.partitionBy(*by).orderBy(*keys))).where(F.col("pos") <= page * size).join(totals, by)
+    start = F.when(F.col("total") > (page - 1) * size, (page - 1) * size).otherwise(0)
+    return first.where((F.col("pos") > start) & (F.col("pos") <= start + size)).withColumn("pos", (F.col("pos") - start).cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from termspark.functions import preferred_label, short_id
 from termspark.operators.paging import closest, page_of, ranked
+from termspark.operators.search import containing
 
 
 def labelled(properties: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def property_search(requests: DataFrame, properties: DataFrame) -> DataFrame:
     """requests (request_id, q, acronym, exact_match, require_definitions, page, page_size) to ranked, paged hits.
 
     Exact requests meet properties on an equal key: the short identifier, the label or one of the labels, without regard to
-    case. The others look for the text in the label and the labels of the properties of their source.
+    case. The others look for the text in the label and the labels of the properties of their source, through an index.
     """
     named = labelled(properties)
     wanted = ~F.col("require_definitions") | (F.size("definitions") > 0)
@@ -32,7 +33,10 @@ def property_search(requests: DataFrame, properties: DataFrame) -> DataFrame:
     names = F.array_distinct(F.transform(F.concat(F.array(short_id(F.col("ld_id")), F.col("pref_label")), "labels"), lambda x: F.lower(x)))
     exact = requests.where("exact_match").withColumn("name", F.lower("q")).join(named.withColumn("name", F.explode(names)), ["acronym", "name"])
     inside = F.contains(F.lower("pref_label"), F.lower("q")) | F.exists("labels", lambda x: F.contains(F.lower(x), F.lower(F.col("q"))))
-    loose = requests.where("NOT exact_match").join(named, "acronym").where(inside)
+    texts = requests.where("NOT exact_match").select("request_id", F.lower("q").alias("text")).distinct()
+    lows = named.select("acronym", "ld_id", F.transform(F.array_compact(F.concat(F.array("pref_label"), "labels")), lambda x: F.lower(x)).alias("names"))
+    met = containing(texts, lows, ["acronym", "ld_id"])
+    loose = requests.where("NOT exact_match").join(met, ["request_id", "acronym"]).join(named, ["acronym", "ld_id"]).where(inside)
     hits = exact.where(wanted).select(*out).unionByName(loose.where(wanted).select(*out))
     placed = ranked(hits, [*closest(F.col("pref_label"), F.col("q")), F.col("acronym"), F.col("ord"), F.col("ld_id")])
     placed = placed.withColumn("total", F.count("*").over(W.partitionBy("request_id")))

@@ -17,25 +17,65 @@ def match(label: Column, synonym: Column, query: Column) -> Column:
     return F.when(F.contains(F.lower(label), q), "prefLabel").when(F.contains(F.lower(synonym), q), "synonym")
 
 
+def grams(x: Column) -> Column:
+    """The distinct runs of three characters; of a shorter text, the text itself."""
+    return F.when(F.length(x) < 3, F.array(x)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3)))))
+
+
+def rarest(asked: DataFrame, index: DataFrame, pieces: Column) -> DataFrame:
+    """asked with `piece`, the one of its pieces that fewest rows of the index (piece, ...) have; requests with a piece that
+    none has cannot match, and go."""
+    sizes = index.groupBy("piece").agg(F.count("*").alias("n"))
+    each = asked.select("request_id", F.size(pieces).alias("all"), F.explode(pieces).alias("piece")).join(sizes, "piece")
+    best = each.groupBy("request_id", "all").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"), F.count("*").alias("known")).where("known = all")
+    return asked.join(best.select("request_id", "piece"), "request_id")
+
+
+def containing(asked: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """asked (request_id, text), rows (keys, names: lower-case texts): request_id and keys of the rows with a name that contains
+    the lower-case text. Requests meet rows on their text's rarest run of three characters, so the join follows the hits and
+    not the product of both tables; a text of one or two characters, which most names have, is compared with all."""
+    index = rows.select(*keys, F.explode(F.array_distinct(F.flatten(F.transform("names", grams)))).alias("piece"))
+    met = rarest(asked.where("length(text) >= 3"), index, grams(F.col("text"))).join(index, "piece").select("request_id", "text", *keys)
+    hits = met.join(rows, keys).where(F.exists("names", lambda n: F.contains(n, F.col("text")))).select("request_id", *keys)
+    low = rows.select(*keys, F.explode("names").alias("name"))
+    short = asked.where("length(text) < 3").join(low, F.contains("name", "text")).select("request_id", *keys).distinct()
+    return hits.unionByName(short)
+
+
+def _names(concepts: DataFrame) -> DataFrame:
+    return concepts.select("acronym", "ld_id", F.array_compact(F.array(F.lower("pref_label"), F.lower("synonym"))).alias("names"))
+
+
 def term_search(requests: DataFrame, concepts: DataFrame) -> DataFrame:
-    """requests (request_id, q, acronym, page, page_size) to ranked hits; the source list is the join key, the text a residual condition."""
-    hits = requests.join(concepts, "acronym").withColumn("match_type", match(F.col("pref_label"), F.col("synonym"), F.col("q"))).where("match_type IS NOT NULL")
+    """requests (request_id, q, acronym, page, page_size), a row for each source, to ranked hits."""
+    met = containing(requests.select("request_id", F.lower("q").alias("text")).distinct(), _names(concepts), ["acronym", "ld_id"])
+    hits = requests.join(met, ["request_id", "acronym"]).join(concepts, ["acronym", "ld_id"]).withColumn("match_type", match(F.col("pref_label"), F.col("synonym"), F.col("q"))).where("match_type IS NOT NULL")
     order = [*closest(F.col("pref_label"), F.col("q")), F.col("acronym"), F.col("ord")]
     placed = ranked(hits, order).withColumn("total", F.count("*").over(W.partitionBy("request_id")))
     matched = F.when((F.col("match_type") == "synonym") & (F.lower("synonym") != F.lower("pref_label")), F.col("synonym"))
     return page_of(placed).select("request_id", "pos", "ld_id", "pref_label", "match_type", matched.alias("matched_synonym"), "total")
 
 
-def source_rows(requests: DataFrame, sources: DataFrame, concepts: DataFrame, closure: DataFrame) -> DataFrame:
+def source_rows(requests: DataFrame, sources: DataFrame, concepts: DataFrame, closure: DataFrame, matching: bool = False) -> DataFrame:
     """All rows of each (request, source) before text and rank: request_id, source_type, source_idx, ld_id, pref_label, ord.
 
-    Enumerated classes come from the request, an ontology gives all its concepts, a branch the descendants of its root, a
-    value set the values below it. Duplicates across sources stay.
+    Enumerated classes come from the request with their labels, whatever the table holds; an ontology gives all its concepts, a branch the descendants of its root, a
+    value set the values below it. Duplicates across sources stay. With `matching`, an ontology gives a request that has a
+    text only what contains it, found through an index.
     """
     asked = sources.join(requests.select("request_id"), "request_id", "left_semi")
     terms = concepts.select("acronym", "ld_id", "pref_label", "ord")
-    picked = asked.where(F.col("source_type") == CLASSES).withColumnRenamed("uri", "ld_id").join(terms.drop("ord"), ["acronym", "ld_id"]).withColumn("ord", F.col("source_idx").cast("long"))
-    whole = asked.where(F.col("source_type") == ONTOLOGIES).drop("uri").join(terms, "acronym")
+    picked = asked.where(F.col("source_type") == CLASSES).select("*", F.col("uri").alias("ld_id"), F.col("label").alias("pref_label"), F.col("source_idx").cast("long").alias("ord"))
+    ontologies = asked.where(F.col("source_type") == ONTOLOGIES).drop("uri")
+    if matching:
+        texts = with_defaults(requests).where("input_text IS NOT NULL").select("request_id", F.lower("input_text").alias("text"))
+        labels = concepts.select("acronym", "ld_id", F.array_compact(F.array(F.lower("pref_label"))).alias("names"))
+        met = containing(texts, labels, ["acronym", "ld_id"])
+        some = ontologies.join(met, ["request_id", "acronym"]).join(terms, ["acronym", "ld_id"])
+        whole = ontologies.join(texts, "request_id", "left_anti").join(terms, "acronym").unionByName(some)
+    else:
+        whole = ontologies.join(terms, "acronym")
     below = asked.where(F.col("source_type").isin(BRANCHES, VALUE_SETS)).withColumnRenamed("uri", "root_id").join(closure, ["acronym", "root_id"]).withColumnRenamed("node_id", "ld_id").join(terms, ["acronym", "ld_id"])
     names = ["request_id", "source_type", "source_idx", "ld_id", "pref_label", "ord"]
     return picked.select(*names).unionByName(whole.select(*names)).unionByName(below.select(*names))
@@ -58,6 +98,29 @@ def integrated_search(requests: DataFrame, rows: DataFrame, sort_scope: str = "g
     return placed.where("pos <= page_size").select("request_id", "pos", "source_type", "ld_id", "pref_label", "total")
 
 
+def single_source(requests: DataFrame, rows: DataFrame) -> DataFrame:
+    """request_id, pos, source_type, ld_id, pref_label, total, page, page_count, next_page of requests of one source each.
+
+    With text: what contains it, closest first. Without: enumerated classes by label; the other sources as they come, and the
+    page is then put in label order (R3), which leaves one page without a next one. The page asked for is honoured, but an
+    ontology or a branch without text always gives page 1.
+    """
+    asked = with_defaults(requests)
+    found = rows.join(asked, "request_id").where("input_text IS NULL OR contains(lower(pref_label), lower(input_text))")
+    found = found.withColumn("total", F.count("*").over(W.partitionBy("request_id")))
+    blank, kind = F.col("input_text").isNull(), F.col("source_type")
+    near = F.coalesce(F.levenshtein(F.lower("pref_label"), F.lower("input_text")), F.lit(0))
+    by_label = F.when(blank & (kind == CLASSES), F.lower("pref_label"))
+    placed = ranked(found, [near, by_label.asc_nulls_last(), F.col("ord"), F.col("ld_id")])
+    page = F.when(blank & kind.isin(ONTOLOGIES, BRANCHES) | ((F.col("page") - 1) * F.col("page_size") >= F.col("total")), 1).otherwise(F.col("page"))
+    shown = page_of(placed.withColumn("page", page))
+    inside = ranked(shown.where(blank & (kind != CLASSES)), [F.lower("pref_label"), F.col("pos")], "place").drop("pos").withColumnRenamed("place", "pos")
+    one = inside.select("request_id", "pos", "source_type", "ld_id", "pref_label", "total", "page", F.lit(1).cast("long").alias("page_count"), F.lit(None).cast("int").alias("next_page"))
+    more = F.when(F.col("page") * F.col("page_size") <= F.col("total"), F.col("page") + 1)
+    rest = shown.where(~(blank & (kind != CLASSES))).select("request_id", "pos", "source_type", "ld_id", "pref_label", "total", "page", F.ceil(F.col("total") / F.col("page_size")).cast("long").alias("page_count"), more.alias("next_page"))
+    return one.unionByName(rest)
+
+
 def integrated_retrieve(requests: DataFrame, rows: DataFrame) -> DataFrame:
     """request_id, pos, source_type, ld_id, pref_label: the sources end to end, unsorted, with true paging."""
     both = rows.join(with_defaults(requests), "request_id").withColumn("total", F.count("*").over(W.partitionBy("request_id")))
@@ -65,8 +128,28 @@ def integrated_retrieve(requests: DataFrame, rows: DataFrame) -> DataFrame:
     return page_of(placed).select("request_id", "pos", "source_type", "ld_id", "pref_label")
 
 
-def source_totals(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("request_id", "source_type", "source_idx").agg(F.count("*").alias("total"))
+def classified(hits: DataFrame, catalog: DataFrame, collections: list[str]) -> DataFrame:
+    """Hits (acronym, ld_id, pref_label) with type and total: in a collection, what the catalog of value sets has is a
+    value set, the rest a value; elsewhere a class. The totals of each ontology count rows without a label, which then go."""
+    sets = catalog.select("acronym", "ld_id", F.lit(True).alias("is_set")).distinct()
+    totals = hits.groupBy("acronym").agg(F.count("*").alias("total"))
+    kind = F.when(~F.col("acronym").isin(collections), "OntologyClass").when(F.col("is_set"), "ValueSet").otherwise("Value")
+    typed = hits.join(sets, ["acronym", "ld_id"], "left").join(totals, "acronym")
+    return typed.where(F.col("pref_label").isNotNull()).select("acronym", "ld_id", kind.alias("type"), "total")
+
+
+def source_totals(requests: DataFrame, sources: DataFrame, concepts: DataFrame, closure: DataFrame) -> DataFrame:
+    """request_id, source_type, source_idx, total: how many rows each source gives, from counts by ontology and by branch;
+    no source's rows are listed. A source without rows does not appear."""
+    asked = sources.join(requests.select("request_id"), "request_id", "left_semi")
+    one = asked.where(F.col("source_type") == CLASSES).withColumn("total", F.lit(1).cast("long"))
+    whole = asked.where(F.col("source_type") == ONTOLOGIES).join(concepts.groupBy("acronym").agg(F.count("*").alias("total")), "acronym")
+    known = closure.join(concepts.select("acronym", F.col("ld_id").alias("node_id")), ["acronym", "node_id"])
+    below = known.groupBy("acronym", F.col("root_id").alias("uri")).agg(F.count("*").alias("total"))
+    named = asked.where(F.col("source_type").isin(BRANCHES, VALUE_SETS)).join(below, ["acronym", "uri"])
+    keys = ["request_id", "source_type", "source_idx"]
+    each = one.select(*keys, "total").unionByName(whole.select(*keys, "total")).unionByName(named.select(*keys, "total"))
+    return each.groupBy(*keys).agg(F.sum("total").alias("total"))
 
 
 def apply_actions(results: DataFrame, actions: DataFrame, terms: DataFrame) -> DataFrame:

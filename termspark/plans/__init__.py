@@ -188,12 +188,19 @@ def q1_term_search(spark, sf_dir):
     return search.term_search(*_search_requests(spark, sf_dir))
 
 
-def _sources(spark, sf_dir):
+def _asked(spark, sf_dir):
+    """(requests, sources, concepts, closure); the closure of what the sources' branches and value sets name."""
     requests, sources, concepts, edges = views(spark, sf_dir, "requests", "sources", "concepts", "edges")
-    return requests, search.source_rows(requests, sources, concepts, hierarchy.descendants(edges))
+    branches = sources.where("source_type > 1").select("acronym", F.col("uri").alias("root_id"))
+    return requests, sources, concepts, hierarchy.descendants(edges, asked=branches)
 
 
-ROWS = """, r AS (SELECT s.request_id, source_type, source_idx, ld_id, pref_label, CAST(source_idx AS BIGINT) AS ord FROM sources s JOIN concepts c ON c.acronym = s.acronym AND c.ld_id = s.uri WHERE source_type = 0
+def _sources(spark, sf_dir, matching=False):
+    asked = _asked(spark, sf_dir)
+    return asked[0], search.source_rows(*asked, matching=matching)
+
+
+ROWS = """, r AS (SELECT s.request_id, source_type, source_idx, uri AS ld_id, label AS pref_label, CAST(source_idx AS BIGINT) AS ord FROM sources s WHERE source_type = 0
   UNION ALL SELECT s.request_id, source_type, source_idx, ld_id, pref_label, ord FROM sources s JOIN concepts c ON c.acronym = s.acronym WHERE source_type = 1
   UNION ALL SELECT s.request_id, source_type, source_idx, ld_id, pref_label, ord FROM sources s JOIN closure k ON k.acronym = s.acronym AND k.root_id = s.uri JOIN concepts c ON c.acronym = s.acronym AND c.ld_id = k.node_id WHERE source_type > 1)"""
 FOUND = ROWS + """, found AS (SELECT r.*, q.page, q.page_size, nullif(input_text, '') AS t, count(*) OVER (PARTITION BY r.request_id) AS total FROM r JOIN requests q ON q.request_id = r.request_id
@@ -204,7 +211,7 @@ NAMES = ("requests", "sources", "concepts", "edges")
 
 @query()
 def c9_integrated_search(spark, sf_dir):
-    return search.integrated_search(*_sources(spark, sf_dir))
+    return search.integrated_search(*_sources(spark, sf_dir, matching=True))
 
 
 ORACLES["c9_integrated_search"] = recursive(FOUND + " SELECT request_id, CAST(pos AS INT) AS pos, source_type, ld_id, pref_label, total FROM best WHERE pos <= page_size", *NAMES)
@@ -212,7 +219,7 @@ ORACLES["c9_integrated_search"] = recursive(FOUND + " SELECT request_id, CAST(po
 
 @query()
 def c7_first_page_search(spark, sf_dir):
-    return search.integrated_search(*_sources(spark, sf_dir), sort_scope="page")
+    return search.integrated_search(*_sources(spark, sf_dir, matching=True), sort_scope="page")
 
 
 ORACLES["c7_first_page_search"] = recursive(
@@ -233,7 +240,7 @@ ORACLES["c10_integrated_retrieve"] = recursive(
 
 @query()
 def c11_source_totals(spark, sf_dir):
-    return search.source_totals(_sources(spark, sf_dir)[1])
+    return search.source_totals(*_asked(spark, sf_dir))
 
 
 ORACLES["c11_source_totals"] = recursive(ROWS + " SELECT request_id, source_type, source_idx, count(*) AS total FROM r GROUP BY ALL", *NAMES)
@@ -241,8 +248,9 @@ ORACLES["c11_source_totals"] = recursive(ROWS + " SELECT request_id, source_type
 
 @query()
 def g1_paginate(spark, sf_dir):
-    requests, rows = _sources(spark, sf_dir)
-    return paging.envelope(paging.with_defaults(requests), rows.groupBy("request_id").agg(F.count("*").alias("total")))
+    asked = _asked(spark, sf_dir)
+    totals = search.source_totals(*asked).groupBy("request_id").agg(F.sum("total").alias("total"))
+    return paging.envelope(paging.with_defaults(asked[0]), totals)
 
 
 ORACLES["g1_paginate"] = recursive(
@@ -252,12 +260,22 @@ ORACLES["g1_paginate"] = recursive(
 
 @query()
 def u3_actions(spark, sf_dir):
-    """The arrangement is folded as in a plain list; the tests compare it with one."""
-    requests, rows = _sources(spark, sf_dir)
+    requests, rows = _sources(spark, sf_dir, matching=True)
     concepts, actions = views(spark, sf_dir, "concepts", "actions")
     return search.apply_actions(search.integrated_search(requests, rows).select("request_id", "pos", "ld_id", "pref_label"), actions, concepts)
 
 
+ORACLES["u3_actions"] = recursive(
+    FOUND + """, page AS (SELECT request_id, CAST(pos AS INT) AS pos, ld_id, pref_label FROM best WHERE pos <= page_size),
+    kept AS (SELECT request_id, list({'position': CAST(0 AS BIGINT), 'ld_id': ld_id, 'pref_label': pref_label} ORDER BY pos) AS l FROM page p WHERE NOT EXISTS (SELECT 1 FROM actions a WHERE a.request_id = p.request_id AND a.term_uri = p.ld_id) GROUP BY request_id),
+    moves AS (SELECT request_id, list([{'position': CAST(position AS BIGINT), 'ld_id': term_uri, 'pref_label': pref_label}] ORDER BY position, term_uri) AS m FROM actions JOIN concepts ON ld_id = term_uri WHERE action = 'move' GROUP BY request_id),
+    sizes AS (SELECT request_id, count(*) AS n FROM page GROUP BY request_id),
+    folded AS (SELECT s.request_id, n, list_reduce(coalesce(m, []), lambda acc, x: CASE WHEN x[1].position < len(acc) THEN acc[:x[1].position] || x || acc[x[1].position + 1:] ELSE acc END, coalesce(l, [])) AS done
+      FROM sizes s LEFT JOIN kept USING (request_id) LEFT JOIN moves USING (request_id)),
+    each AS (SELECT request_id, unnest(done[:n]) AS r, generate_subscripts(done[:n], 1) AS pos FROM folded)
+    SELECT request_id, CAST(pos AS INT) AS pos, r.ld_id AS ld_id, r.pref_label AS pref_label FROM each""", *NAMES, "actions")
+
+
 @query(STATE + " SELECT term_key, label, weight, seq FROM state WHERE op <> 'delete'", "change_feed")
 def m4_latest_state(spark, sf_dir):
     return latest_state(*views(spark, sf_dir, "change_feed"))
@@ -278,4 +296,4 @@ def s8_catalog_dedupe(spark, sf_dir):
     return feed.groupBy("term_key").agg(F.min_by("op", order).alias("first_op"), F.max_by("op", order).alias("last_op"), F.min("ts").alias("first_at"), F.count("*").alias("versions"))
 
 
-from termspark.plans import records  # noqa: E402, F401
+from termspark.plans import records, terms  # noqa: E402, F401

@@ -21,7 +21,8 @@ SELECT acronym, concat('{BASE}/', acronym) AS ld_id, name, is_flat, ontology_typ
   SELECT 'GEO' AS acronym, 'Places' AS name, false AS is_flat, 'ONTOLOGY' AS ontology_type, 0 AS ord
   UNION ALL SELECT 'PART', 'Parts', false, 'ONTOLOGY', 1 UNION ALL SELECT 'FLAT', 'Suppliers', true, NULL, 2
   UNION ALL SELECT 'VSA', 'Segments', false, 'VALUE_SET_COLLECTION', 3
-  UNION ALL SELECT 'VSN', 'Part types', false, 'VALUE_SET_COLLECTION', 4) t""",
+  UNION ALL SELECT 'VSN', 'Part types', false, 'VALUE_SET_COLLECTION', 4
+  UNION ALL SELECT 'NEW', 'Proposals', false, 'ONTOLOGY', 5 UNION ALL SELECT 'VSW', 'Own sets', false, 'VALUE_SET_COLLECTION', 6) t""",
     "concepts": f"""
 SELECT 'GEO' AS acronym, concat('{BASE}/GEO/region#R', r_regionkey) AS ld_id, r_name AS pref_label, CAST(NULL AS VARCHAR(1)) AS synonym,
        CAST(NULL AS VARCHAR(1)) AS notation, CAST(NULL AS VARCHAR(1)) AS related_match, CAST(r_regionkey AS BIGINT) AS ord FROM region
@@ -48,12 +49,13 @@ SELECT CAST(1000 + min(p_partkey) AS BIGINT) AS request_id, split_part(p_name, '
 UNION ALL SELECT CAST(r_regionkey AS BIGINT), '', 1 + r_regionkey % 3, 5 + r_regionkey FROM region""",
     #: One row per request and source: type 0 classes, 1 ontologies, 2 branches, 3 value sets.
     "sources": f"""
-SELECT CAST(1000 + min(p_partkey) AS BIGINT) AS request_id, 1 AS source_type, 0 AS source_idx, 'PART' AS acronym, CAST(NULL AS VARCHAR(1)) AS uri FROM part GROUP BY split_part(p_name, ' ', 1)
-UNION ALL SELECT CAST(1000 + min(p_partkey) AS BIGINT), 2, 0, 'PART', concat('{BASE}/PART/type#', min(p_type)) FROM part GROUP BY split_part(p_name, ' ', 1)
-UNION ALL SELECT CAST(1000 + min(p_partkey) AS BIGINT), 3, 0, 'VSN', concat('{BASE}/VSN/', max(p_type)) FROM part GROUP BY split_part(p_name, ' ', 1)
-UNION ALL SELECT CAST(r_regionkey AS BIGINT), 0, CAST(n_nationkey AS INT), 'GEO', concat('{BASE}/GEO/nation#N', n_nationkey) FROM region JOIN nation ON r_regionkey = n_regionkey
-UNION ALL SELECT CAST(r_regionkey AS BIGINT), 1, 0, 'FLAT', NULL FROM region
-UNION ALL SELECT CAST(r_regionkey AS BIGINT), 2, 0, 'GEO', concat('{BASE}/GEO/region#R', r_regionkey) FROM region""",
+SELECT CAST(1000 + min(p_partkey) AS BIGINT) AS request_id, 1 AS source_type, 0 AS source_idx, 'PART' AS acronym, CAST(NULL AS VARCHAR(1)) AS uri, CAST(NULL AS VARCHAR(1)) AS label FROM part GROUP BY split_part(p_name, ' ', 1)
+UNION ALL SELECT CAST(1000 + min(p_partkey) AS BIGINT), 2, 0, 'PART', concat('{BASE}/PART/type#', min(p_type)), NULL FROM part GROUP BY split_part(p_name, ' ', 1)
+UNION ALL SELECT CAST(1000 + min(p_partkey) AS BIGINT), 3, 0, 'VSN', concat('{BASE}/VSN/', max(p_type)), NULL FROM part GROUP BY split_part(p_name, ' ', 1)
+UNION ALL SELECT CAST(r_regionkey AS BIGINT), 0, CAST(n_nationkey AS INT), 'GEO', concat('{BASE}/GEO/nation#N', n_nationkey), concat('Nation ', n_name) FROM region JOIN nation ON r_regionkey = n_regionkey
+UNION ALL SELECT CAST(r_regionkey AS BIGINT), 0, 100, 'GEO', concat('{BASE}/GEO/nowhere#', r_regionkey), 'In no table' FROM region
+UNION ALL SELECT CAST(r_regionkey AS BIGINT), 1, 0, 'FLAT', NULL, NULL FROM region
+UNION ALL SELECT CAST(r_regionkey AS BIGINT), 2, 0, 'GEO', concat('{BASE}/GEO/region#R', r_regionkey), NULL FROM region""",
     #: Deletes and moves on the results of the requests without text.
     "actions": f"""
 SELECT CAST(n_regionkey AS BIGINT) AS request_id, CASE WHEN n_nationkey % 2 = 0 THEN 'delete' ELSE 'move' END AS action,
@@ -63,6 +65,27 @@ SELECT CAST(n_regionkey AS BIGINT) AS request_id, CASE WHEN n_nationkey % 2 = 0
 SELECT user_id AS term_key, ts, event_id AS seq,
        CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS op, event_type AS label,
        CASE WHEN event_type = 'view' THEN NULL ELSE value END AS weight FROM events""",
+    #: Provisional terms: value sets and values of the writable collection VSW, classes of NEW (which has no others) and of
+    #: PART. Some values name their set by its encoded id; some classes have no label.
+    "provisional": f"""
+SELECT concat('{BASE}/provisional_classes/', CASE WHEN k % 10 = 0 THEN 'S' WHEN k % 10 < 5 THEN 'V' ELSE 'C' END, k) AS ld_id,
+       CASE WHEN k % 10 = 0 THEN 'value_set' WHEN k % 10 < 5 THEN 'value' ELSE 'class' END AS entity, CASE WHEN k % 10 < 5 THEN 'VSW' WHEN k % 2 = 0 THEN 'NEW' ELSE 'PART' END AS acronym,
+       CASE WHEN k % 50 <> 7 THEN concat(split_part(priority, '-', 2), ' term ', k) END AS pref_label, concat('user', custkey) AS creator,
+       CASE WHEN k % 10 IN (1, 3, 4) THEN concat('{BASE}/provisional_classes/S', k - k % 10) WHEN k % 10 = 2 THEN url_encode(concat('{BASE}/provisional_classes/S', k - k % 10)) WHEN k % 10 = 5 THEN '{BASE}/PART/type#ECONOMY' END AS subclass_of,
+       CASE WHEN k % 3 = 0 THEN concat('Term number ', k) END AS definition, CASE WHEN k % 4 = 0 THEN concat('alias ', k) END AS synonym, k AS ord
+FROM (SELECT o_orderkey AS k, o_orderpriority AS priority, o_custkey AS custkey FROM orders) o""",
+    #: One request per provisional value and per value of a regular set, for the set that it is in; every seventh of the
+    #: regular ones names a set that is not there.
+    "set_requests": f"""
+SELECT concat('{BASE}/VSN/P', p_partkey) AS request_id, 'VSN' AS acronym, concat('{BASE}/VSN/', p_type, CASE WHEN p_partkey % 7 = 3 THEN '?' ELSE '' END) AS vs_id FROM part
+UNION ALL SELECT concat('{BASE}/VSA/C', c_custkey), 'VSA', url_encode(concat('{BASE}/VSA/', c_mktsegment)) FROM customer
+UNION ALL SELECT concat('{BASE}/provisional_classes/V', o_orderkey), 'VSW', concat('{BASE}/provisional_classes/S', o_orderkey - o_orderkey % 10) FROM orders WHERE o_orderkey % 10 BETWEEN 1 AND 4""",
+    #: Term searches over regular and provisional terms: words of part names, and words of priorities.
+    "term_requests": f"""
+SELECT CAST(min(p_partkey) AS BIGINT) AS request_id, split_part(p_name, ' ', 1) AS q, CASE min(p_partkey) % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'classes' WHEN 2 THEN 'value_sets,values' ELSE 'values' END AS scope, min(p_partkey) % 3 = 1 AS suggest,
+       CASE WHEN min(p_partkey) % 5 = 2 THEN concat('{BASE}/PART/type#', min(p_type)) END AS subtree_root, CAST(min(p_partkey) % 3 AS INT) AS max_depth, 1 + CAST(min(p_partkey) % 2 AS INT) AS page, 6 AS page_size FROM part GROUP BY split_part(p_name, ' ', 1)
+UNION ALL SELECT 1000000 + CAST(min(o_orderkey) AS BIGINT), concat(split_part(o_orderpriority, '-', 2), ' ter'), 'all', true, NULL, 0, 1, 9 FROM orders GROUP BY o_orderpriority
+UNION ALL SELECT 2000000 + CAST(min(o_orderkey) AS BIGINT), concat(' ', lower(split_part(o_orderpriority, '-', 2))), CASE WHEN min(o_orderkey) % 2 = 0 THEN 'classes' ELSE 'value_sets' END, false, NULL, 0, 2, 5 FROM orders GROUP BY o_orderpriority""",
     #: Properties of the ontology of parts; some have no preferred label, some no definition.
     "properties": f"""
 SELECT 'PART' AS acronym, concat('{BASE}/PART/prop#', p_type, '_', p_size) AS ld_id, CASE WHEN p_size % 3 = 0 THEN NULL ELSE concat(p_type, ' ', p_size, ' measure') END AS pref_label,

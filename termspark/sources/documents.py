@@ -57,8 +57,8 @@ def class_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def properties(spark: SparkSession, path: str) -> DataFrame:
-    """Arrays of properties, in a folder acronym=X each."""
-    d = spark.read.schema(f"{PROPERTY}, acronym string").json(path, multiLine=True)
+    """Properties, one a line, with the acronym as a field or as a folder acronym=X."""
+    d = spark.read.schema(f"{PROPERTY}, acronym string").json(path)
     labels = empty_if_null(F.col("label"))
     return d.select("acronym", F.col("@id").alias("ld_id"), F.col("@type").alias("ld_type"), preferred_label(F.col("prefLabel"), labels, F.col("@id")).alias("pref_label"), labels.alias("labels"), empty_if_null(F.col("definition")).alias("definitions"), "hasChildren")
 
@@ -74,6 +74,12 @@ def provisional_classes(spark: SparkSession, paged: str | None, plain: str | Non
     return both.select(F.col("@id").alias("ld_id"), F.col("label").alias("pref_label"), "creator", "ontology", F.col("subclassOf").alias("subclass_of"), empty_if_null(F.col("definition")).alias("definitions"), empty_if_null(F.col("synonym")).alias("synonyms"), "relations")
 
 
+def details(spark: SparkSession, metrics: str, categories: str, submissions: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Metrics (acronym, classes), categories (acronym, name, ord) and submissions (acronym) of ontologies (S5); what is not there upstream has no row."""
+    read = lambda path, schema: spark.read.schema(schema).json(path)
+    return read(metrics, "acronym string, classes string"), read(categories, "acronym string, name string, ord long"), read(submissions, "acronym string, creationDate string").select("acronym")
+
+
 def flatten_trees(docs: DataFrame) -> DataFrame:
     """docs (doc_id, body) to doc_id, parent_id, node_id, depth: each round opens the children of all documents at once.
 

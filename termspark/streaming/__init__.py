@@ -11,27 +11,58 @@ from pyspark.sql.types import StructType
 from termspark.sources import cut
 
 
-def latest_state(feed: DataFrame) -> DataFrame:
-    """feed (term_key, ts, seq, op, label, weight) to one row per live key: each field's last non-null value since the last
-    create or delete; keys whose last change is a delete go, a later create revives them.
-
-    Aggregates combine on the map side, so a key with very many changes costs one row per task.
-    """
+def summary(feed: DataFrame) -> DataFrame:
+    """feed (term_key, ts, seq, op, label, weight) to one row per key that tells all that later changes can depend on: when it
+    was last created or deleted, the last label and weight and when they were set, and the last change. Late rows are placed
+    by (ts, seq). All are maxima, so they combine on the map side, and summaries combine by `merged`."""
     order = F.struct("ts", "seq")
-    ends = feed.where("op IN ('create', 'delete')").groupBy("term_key").agg(F.max(order).alias("since"))
-    near = feed.join(ends, "term_key", "left").where(F.col("since").isNull() | (order >= F.col("since")))
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull() & (F.col("op") != "delete"), order)).alias(c)
-    now = near.groupBy("term_key").agg(last("label"), last("weight"), F.max(order).alias("at"), F.max_by("op", order).alias("op"))
-    return now.where("op <> 'delete'").select("term_key", "label", "weight", F.col("at.seq").alias("seq"))
+    set_ = lambda c: F.max(F.when(F.col(c).isNotNull() & (F.col("op") != "delete"), F.struct("ts", "seq", F.col(c).alias("value")))).alias(c)
+    return feed.groupBy("term_key").agg(F.max(F.when(F.col("op").isin("create", "delete"), order)).alias("since"), set_("label"), set_("weight"), F.max(F.struct("ts", "seq", "op")).alias("last"))
+
+
+def merged(summaries: DataFrame) -> DataFrame:
+    return summaries.groupBy("term_key").agg(*[F.max(c).alias(c) for c in ("since", "label", "weight", "last")])
+
+
+def live(summaries: DataFrame) -> DataFrame:
+    """term_key, label, weight, seq of the keys that are there: each field's last non-null value since the last create or
+    delete; keys whose last change is a delete go, a later create revives them."""
+    now = lambda c: F.when(F.col("since").isNull() | (F.struct(F.col(c)["ts"], F.col(c)["seq"]) >= F.col("since")), F.col(c)["value"]).alias(c)
+    return summaries.where("last.op <> 'delete'").select("term_key", now("label"), now("weight"), F.col("last.seq").alias("seq"))
+
+
+def latest_state(feed: DataFrame) -> DataFrame:
+    """The live keys of a whole feed."""
+    return live(summary(feed))
 
 
 def stream_state(spark: SparkSession, files: str, schema: StructType, to_feed, folder: str) -> DataFrame:
-    """The same state from a stream of files: each batch is appended to the feed's log under a folder named by its batch
-    id, so a batch that is run again replaces itself; then the log is folded. Late rows are placed by (ts, seq)."""
+    """The same state from a stream of files. Each batch merges the summary of its rows into that of the batch before and
+    writes the result under its own batch id, so the work follows the keys and not the log, and a batch that is run again
+    replaces itself."""
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        to_feed(batch).write.mode("overwrite").parquet(f"{folder}/log/batch_id={batch_id}")
+        now = summary(to_feed(batch))
+        if batch_id:
+            now = merged(now.unionByName(spark.read.schema(now.schema).parquet(f"{folder}/state/batch_id={batch_id - 1}")))
+        now.write.mode("overwrite").parquet(f"{folder}/state/batch_id={batch_id}")
 
     query = spark.readStream.schema(schema).parquet(files).writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/at-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     query.awaitTermination()
-    return cut(latest_state(spark.read.parquet(f"{folder}/log").drop("batch_id")))
+    states = spark.read.parquet(f"{folder}/state")
+    last = states.agg(F.max("batch_id")).first()[0]
+    return cut(live(states.where(F.col("batch_id") == last)))
+
+
+def refresh_catalog(spark: SparkSession, files: str, schema: StructType, catalog, folder: str) -> DataFrame:
+    """The catalog as the last refresh wrote it (M6, S9): whenever files arrive, a batch writes the whole catalog to a folder of
+    its own, named by its batch id, so that readers never see a half-written one. A service would trigger it by the hour."""
+
+    def refresh(batch: DataFrame, batch_id: int) -> None:
+        catalog().write.mode("overwrite").parquet(f"{folder}/catalog/batch_id={batch_id}")
+
+    query = spark.readStream.schema(schema).parquet(files).writeStream.foreachBatch(refresh).option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start()
+    query.awaitTermination()
+    written = spark.read.parquet(f"{folder}/catalog")
+    last = written.agg(F.max("batch_id")).first()[0]
+    return written.where(F.col("batch_id") == last).drop("batch_id")
