@@ -143,27 +143,43 @@ def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
 
 
 def scan(pairs: DataFrame, model: Quantiser, candidates: int) -> DataFrame:
-    """query_id, gid, guess: the candidates of each query in each block of rows."""
+    """query_id, gid, guess: the candidates of each query in each bucket of rows, whatever number of blocks that has.
+
+    The blocks of one bucket come one after another, as the join before sorts by its keys; a running list of the best is kept
+    for each query, so that what is shuffled grows with queries times buckets.
+    """
     shared = pairs.sparkSession.sparkContext.broadcast(model)
 
+    def out(qids: np.ndarray, best: np.ndarray, guess: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(qids, len(best))), pa.array(best.ravel()), pa.array(guess.ravel().astype(np.float64))], names=["query_id", "gid", "guess"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tables = None, None
+        key, qids, tables, best, top = None, None, None, None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                qids = np.array(batch.column("qids")[r].as_py(), dtype=np.int64)
-                if last is None or not np.array_equal(last, qids):
-                    last, tables = qids, shared.value.tables(batch.column("q")[r].values.to_numpy(zero_copy_only=False).reshape(len(qids), -1))
+                now = batch.column("block")[r].as_py(), batch.column("bucket")[r].as_py()
+                if now != key:
+                    if best is not None:
+                        yield out(qids, best, top)
+                    if key is None or now[0] != key[0]:
+                        qids = np.array(batch.column("qids")[r].as_py(), dtype=np.int64)
+                        tables = shared.value.tables(batch.column("q")[r].values.to_numpy(zero_copy_only=False).reshape(len(qids), -1))
+                    key, best, top = now, np.zeros((0, len(qids)), dtype=np.int64), np.zeros((0, len(qids)), dtype=np.float32)
                 ids = np.frombuffer(batch.column("ids")[r].as_py(), dtype="<i8")
                 codes = np.frombuffer(batch.column("codes")[r].as_py(), dtype=np.uint8).reshape(len(ids), -1)
                 guess = np.repeat(-np.frombuffer(batch.column("halves")[r].as_py(), dtype="<f4")[:, None], len(qids), axis=1)
                 for k in range(codes.shape[1]):
                     guess += tables[k][codes[:, k]]
                 take = min(candidates, len(ids))
-                best = np.argpartition(-guess, take - 1, axis=0)[:take]
-                found = np.take_along_axis(guess, best, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(qids, take)), pa.array(ids[best].ravel()), pa.array(found.ravel().astype(np.float64))], names=["query_id", "gid", "guess"])
-
-    return pairs.select("qids", "q", "ids", "codes", "halves").mapInArrow(run, "query_id bigint, gid bigint, guess double")
+                at = np.argpartition(-guess, take - 1, axis=0)[:take]
+                best, top = np.concatenate([best, ids[at]]), np.concatenate([top, np.take_along_axis(guess, at, axis=0)])
+                if len(best) > candidates:
+                    at = np.argpartition(-top, candidates - 1, axis=0)[:candidates]
+                    best, top = np.take_along_axis(best, at, axis=0), np.take_along_axis(top, at, axis=0)
+        if best is not None:
+            yield out(qids, best, top)
+
+    return pairs.select("block", "bucket", "qids", "q", "ids", "codes", "halves").mapInArrow(run, "query_id bigint, gid bigint, guess double")
 
 
 def distance(a: Column, b: Column) -> Column:

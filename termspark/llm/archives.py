@@ -10,11 +10,19 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from termspark.llm.common import cut
 
 COMMIT = "_COMMITTED"
+#: Schemes that Hadoop and pyarrow name differently.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI, resolved as Spark resolves its paths: a path without a scheme belongs to the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def store(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -23,7 +31,8 @@ def store(folder: str) -> tuple[pafs.FileSystem, str]:
         return pafs.LocalFileSystem(), folder
     if folder.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(folder)
+    scheme, rest = folder.split("://", 1)
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def new_file(folder: str, suffix: str) -> tuple[str, pafs.FileSystem, str]:

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspark.llm.common import table, text_batches
+from termspark.llm.common import cut, discard, table, text_batches
 
 BUCKETS = 1 << 13
 #: Added to each count.
@@ -30,6 +30,8 @@ SMOOTHING = 0.5
 AMBIGUOUS = 0.55
 #: At most this many trigrams count as evidence; a longer text's margin is scaled to it.
 EVIDENCE = 60.0
+#: Languages whose counts a task holds at a time, and those that a model can have (64 KB each on the driver).
+HELD_LANGS, MAX_LANGS = 256, 4096
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that are not letters become spaces.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -49,7 +51,12 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def counts(labelled: DataFrame) -> DataFrame:
-    """lang, bucket, n: how often each bucket's trigrams occur in the texts of each language."""
+    """lang, bucket, n: how often each bucket's trigrams occur in the texts of each language. A task holds HELD_LANGS at a time."""
+
+    def rows(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, n in held.items():
+            some = np.nonzero(n)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[some])], names=["lang", "bucket", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -57,9 +64,10 @@ def counts(labelled: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 held.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 held[lang] += np.bincount(trigrams(text), minlength=BUCKETS)
-        for lang, n in held.items():
-            some = np.nonzero(n)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[some])], names=["lang", "bucket", "n"])
+                if len(held) >= HELD_LANGS:
+                    yield from rows(held)
+                    held.clear()
+        yield from rows(held)
 
     return labelled.select("lang", "text").mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
@@ -101,7 +109,11 @@ class Model:
 
 def fit(labelled: DataFrame) -> Model:
     """A model of the languages in `lang` of the rows whose lang and text are not null; without any, all is undetermined."""
-    rows = counts(labelled.where("lang IS NOT NULL AND text IS NOT NULL")).toPandas()
+    counted = cut(counts(labelled.where("lang IS NOT NULL AND text IS NOT NULL")))
+    if (n := counted.select("lang").distinct().count()) > MAX_LANGS:
+        raise ValueError(f"{n} languages: a model holds {MAX_LANGS} at most")
+    rows = counted.toPandas()
+    discard(counted)
     langs = sorted(rows["lang"].unique().tolist())
     table_ = np.full((len(langs), BUCKETS), SMOOTHING)
     table_[[langs.index(x) for x in rows["lang"]] if len(rows) else [], rows["bucket"].to_numpy(dtype=np.int64)] += rows["n"].to_numpy(dtype=np.int64)

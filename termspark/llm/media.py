@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from termspark.llm.archives import commit, committed, new_file, store
+from termspark.llm.archives import commit, committed, new_file, qualified, store
 from termspark.llm.common import shared_folder, table, text_batches
 
 WIDTH = 64
@@ -223,6 +223,7 @@ def media_column(docs: DataFrame, folder: str) -> DataFrame:
     archive and no rows.
     """
     spark = docs.sparkSession
+    folder = qualified(docs.sparkSession, folder)
     commit(folder, write_members(docs, folder, lambda data: to_png(pad(data))))
     spark.dataSource.register(ArchiveSource)
     return spark.read.format("archive").load(folder)

@@ -58,6 +58,14 @@ def targets(rows: DataFrame) -> DataFrame:
     return level.select("source", "source_size", F.when(F.col("stops"), F.col("limit").cast("double")).otherwise(share).alias("target"), "source_rank")
 
 
+def golden_point(slot: Column) -> Column:
+    """frac((slot + 1/2) * GOLDEN). The slot's low 26 bits and the rest are multiplied apart, so that no slot below 2 ** 52 loses
+    more than about eight decimals; a product of all bits would be too large for its fraction."""
+    low, high = F.pmod(slot, F.lit(1 << 26)), F.floor(slot / (1 << 26))
+    sum_ = (low + 0.5) * GOLDEN + high * ((GOLDEN * (1 << 26)) % 1.0)
+    return sum_ - F.floor(sum_)
+
+
 def schedule(goals: DataFrame, block: int) -> DataFrame:
     """slot, source_rank, block_no: which block of which source each slot of the mix takes.
 
@@ -69,8 +77,7 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
     spans = goals.where("target > 0").select("source_rank", F.sum("target").over(one).alias("total"), upper.alias("high"))
     total, steps = spans.agg(F.max("total"), F.array_sort(F.collect_list(F.struct("high", "source_rank")))).first()
     slots = spark.range(0, -int(-(total or 0) // block), 1, partitions(spark)).withColumnRenamed("id", "slot")
-    point = (F.col("slot") + 0.5) * GOLDEN
-    passed = F.size(F.filter(F.lit([h for h, _ in steps[:-1]] or [float("inf")]), lambda h: h <= (point - F.floor(point)) * (total or 0)))
+    passed = F.size(F.filter(F.lit([h for h, _ in steps[:-1]] or [float("inf")]), lambda h: h <= golden_point(F.col("slot")) * (total or 0)))
     placed = slots.select("slot", F.element_at(F.lit([r for _, r in steps] or [0]), passed + 1).alias("source_rank"), F.floor(F.col("slot") / 4096).alias("chunk"))
     inner = placed.select("*", F.row_number().over(W.partitionBy("chunk", "source_rank").orderBy("slot")).alias("nth"))
     sums = placed.groupBy("chunk", "source_rank").agg(F.count("*").alias("n"))

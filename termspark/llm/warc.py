@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspark.llm.archives import commit, committed, new_file, store
+from termspark.llm.archives import commit, committed, new_file, qualified, store
 from termspark.llm.common import shared_folder, table, text_batches
 
 #: The magic number of the skippable frame that holds a dictionary, and that of Zstandard's frames.
@@ -231,6 +231,7 @@ def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
     table gives no archive and no rows.
     """
     planned = plan(pages)
+    folder = qualified(pages.sparkSession, folder)
     commit(folder, write_archives(planned, folder))
     return read_archives(pages.sparkSession, folder)
 

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -484,3 +485,117 @@ def test_linked_secrets_are_those_of_all_pairs(spark):
         assert found == _linked_spans(rows[r.doc_id][1], secrets.WINDOW)
         linked += len(found)
     assert linked > 50
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, docs, name):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing columns, an empty table."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    assert stage(spark, docs.limit(0), SF).count() == 0
+    if name == "byte_bpe":
+        assert len(rows) == len(TEXTS)
+        return
+    assert out.columns == docs.columns
+    kept = collections.Counter(r.doc_id for r in rows)
+    if name == "language_id":
+        assert not {3, 4, 5} & set(kept) and all(r.text for r in rows)
+    if name == "line_dedup":  # documents without text lose nothing; 7 and 9 are near copies of 6, and go
+        assert {1, 3, 4, 5, 6, None} <= set(kept) and not {7, 9} & set(kept)
+    if name == "simhash_near_dedup":  # one of the equal rows of 2; of those without words, and of the long ones, the first
+        assert kept[2] == 1 and set(kept) == {1, 2, 3, 6, None}
+    if name == "source_mixing":
+        assert not {3, 4, 5} & set(kept) and all(n <= 6 for n in kept.values())
+
+
+def test_mixing_takes_what_a_plain_schedule_takes(spark, docs, tmp_path):
+    placed, segments = mixing.mix(docs, block=16)
+    rows = [r for r in placed.collect() if r["size"]]
+    goals = {r.source_rank: (r.target, r.source_size) for r in rows}
+    total, want = sum(t for t, _ in goals.values()), collections.Counter()
+    streams = {}
+    for rank, (_, size) in goals.items():
+        one = [(r.begin, i) for r in rows if r.source_rank == rank for i in range(r["size"])]
+        streams[rank] = [b for b, i in sorted(one, key=lambda x: x[0] + x[1])] * mixing.MAX_REPEATS
+        assert len(streams[rank]) == mixing.MAX_REPEATS * size
+    nth = collections.Counter()
+    for slot in range(-int(-total // 16)):
+        at, rank = ((slot + 0.5) * mixing.GOLDEN) % 1 * total, None
+        for rank in sorted(goals):  # noqa: B007
+            at -= goals[rank][0]
+            if at < 0:
+                break
+        for begin in streams[rank][16 * nth[rank] : 16 * nth[rank] + 16]:
+            want[rank, begin] += 1
+        nth[rank] += 1
+    got = {(r.source_rank, r.begin): r.n for r in segments.groupBy("source_rank", "begin").agg(F.sum("words").alias("n")).collect()}
+    assert got == dict(want)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    whole = queries.QUERIES["op10_mixing"](spark, str(tmp_path)).toPandas()
+    assert len(whole) == len(TEXTS) and (whole.taken <= 3 * whole["size"]).all() and whole.taken[whole["size"] == 0].eq(0).all()
+
+
+def test_golden_points_of_large_slots(spark):
+    slots = [0, 1, 77, 10**6, 2**26 + 3, 10**12 + 1, 2**50 + 12345]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in slots], "slot long").select(mixing.golden_point(F.col("slot"))).collect()]
+    golden = (5**0.5 - 1) / 2
+    exact = [float(((2 * s + 1) * Fraction(golden) / 2) % 1) for s in slots]
+    assert np.allclose(got, exact, atol=1e-6)
+
+
+def test_language_model_is_that_of_plain_counts(spark, docs):
+    train = [(1, "the cat sat on the mat and the hat", "en"), (2, "der hund und die katze sind im haus", "de"), (3, "le chat est sur la table et le chien", "fr"), (4, None, "en"), (5, "nothing", None)]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    plain = {}
+    for _, text, lang in train[:3]:
+        plain[lang] = np.full(langid.BUCKETS, langid.SMOOTHING)
+        for b in langid.trigrams(text).tolist():
+            plain[lang][b] += 1
+    assert model.langs == ["de", "en", "fr"]
+    share = {k: v / v.sum() for k, v in plain.items()}
+    tests = ["the dog and the cat", "der hund", "la table et le chat", "123", None, ""]
+    langs, scores = model.predict(tests)
+    for text, lang, score in zip(tests, langs, scores, strict=True):
+        if not text or not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        grams = langid.trigrams(text).tolist()
+        losses = []
+        for code in model.codes:
+            loss = 0.0
+            for bit in range(model.codes.shape[1]):
+                one = [share[x] for x, c in zip(model.langs, model.codes[:, bit], strict=True) if c > 0]
+                zero = [share[x] for x, c in zip(model.langs, model.codes[:, bit], strict=True) if c < 0]
+                margin = sum(np.log(np.mean([s[g] for s in one]) / np.mean([s[g] for s in zero])) for g in grams) if one and zero else 0.0
+                loss += np.log1p(np.exp(-code[bit] * margin * min(len(grams), langid.EVIDENCE) / len(grams) / 4))
+            losses.append(loss)
+        odds = np.exp(min(losses) - np.array(losses))
+        assert lang == model.langs[int(np.argmin(losses))] and abs(score - max(odds) / odds.sum()) < 1e-4
+
+
+def test_media_digests_and_features(spark, tmp_path):
+    """The stored image, opened without this library: zlib and the PNG layout only."""
+    rows = [(1, "a" * 200), (2, None), (3, "é😀" * 40), (3, "é😀" * 40), (None, "x" * 64)]
+    got = media.describe(media.media_column(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "m"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        data = next((t or "").encode() for d, t in rows if d == r.doc_id)
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        stored = media.to_png(payload)
+        body = zlib.decompress(stored[stored.index(b"IDAT") + 4 : stored.index(b"IEND") - 8])
+        assert b"".join(body[i + 1 : i + 65] for i in range(0, len(body), 65)) == payload
+        want = (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), media.feature(payload))
+        assert tuple(r)[1:] == want
+
+
+def test_archive_folders_are_resolved_as_spark_does(spark, tmp_path):
+    assert archives.qualified(spark, str(tmp_path)).startswith("file:/")
+    fs, path = archives.store(archives.qualified(spark, str(tmp_path)))
+    assert fs.get_file_info(path).is_file is False and path == str(tmp_path)
+
+
+def test_neighbours_with_few_rows_and_ties(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [3.0, 0.0]), (5, [1.0, 1.0]), (6, [1.0, -1.0]), (7, [float("nan"), 1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 1.0), (5, 1.0), (6, 1.0), (4, 2.0)]
