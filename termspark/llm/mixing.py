@@ -150,8 +150,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .join(taken, ["source_rank", "begin"])
         .where("2 * words >= size")
         .groupBy("key")
-        .agg(F.count("*").alias("_mix_copies"), F.countDistinct("begin").alias("_mix_rows"))
+        .agg(F.count("*").alias("copies"), F.countDistinct("begin").alias("rows"))
     )
-    each = docs.withColumn("_mix_key", row_key("doc_id", "text", "source")).join(copies.withColumnRenamed("key", "_mix_key"), "_mix_key")
-    times = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_mix_copies") / F.col("_mix_rows")).cast("int")))
-    return each.select(*[docs[c] for c in docs.columns], times.alias("_mix_copy")).drop("_mix_copy")
+    each = docs.select(row_key("doc_id", "text", "source").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(copies, "key")
+    times = F.explode(F.sequence(F.lit(1), F.ceil(F.col("copies") / F.col("rows")).cast("int")))
+    return each.select("row", times.alias("time")).select("row.*")

@@ -314,9 +314,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     named = docs.where("doc_id IS NOT NULL")
     found = similar_documents(named)
-    flags = found.groupBy("key").agg(F.max(F.col("key") != F.col("first")).alias("_gone"), F.count("*").alias("_rows")).where("_gone OR _rows > 1")
-    few = bounded(cut(flags.withColumnRenamed("key", "_row_key")), F.lit(64))
+    flags = found.groupBy("key").agg(F.max(F.col("key") != F.col("first")).alias("gone"), F.count("*").alias("held")).where("gone OR held > 1")
+    few = bounded(cut(flags), F.lit(64))
     discard(found)
-    kept = named.withColumn("_row_key", row_key("doc_id", "text")).join(few, "_row_key", "left").where("coalesce(NOT _gone, true)")
-    once = kept.where("_rows IS NULL").unionByName(kept.where("_rows > 1").dropDuplicates(["_row_key"]))
-    return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    rows = named.select(row_key("doc_id", "text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(few, "key", "left").where("coalesce(NOT gone, true)")
+    once = kept.where("held IS NULL").unionByName(kept.where("held > 1").dropDuplicates(["key"]))
+    return once.select("row.*").unionByName(docs.where("doc_id IS NULL"))
