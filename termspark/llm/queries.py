@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termspark.llm import ann, bpe, langid, lines, media, mixing, secrets, simhash, substrings, warc
+from termspark.llm import ann, bpe, divergence, langid, licenses, lines, media, mixing, secrets, simhash, substrings, warc, whitening
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,9 @@ QUERIES = {
     "op8_lines": lines.op8_lines,
     "op9_substrings": substrings.op9_substrings,
     "op10_mixing": mixing.op10_mixing,
+    "op11_licenses": licenses.op11_licenses,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_whitening": whitening.op13_whitening,
     "pipeline": pipeline,
 }
-ORACLES = {"op4_warc": warc.ORACLE, "op9_substrings": substrings.ORACLE}
+ORACLES = {"op4_warc": warc.ORACLE, "op9_substrings": substrings.ORACLE, "op11_licenses": licenses.ORACLE, "op12_divergence": divergence.ORACLE}
