@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspark.sources import cut
+from termspark.sources import cut, discard, shared_folder
 
 
 def roots(concepts: DataFrame, edges: DataFrame, ontologies: DataFrame) -> DataFrame:
@@ -43,6 +43,46 @@ def descendants(edges: DataFrame, max_depth: int = 0, asked: DataFrame | None =
     return seen
 
 
+CLOSURE = "acronym string, root_id string, node_id string, depth int"
+
+
+def stored_closure(edges: DataFrame) -> DataFrame:
+    """H9: acronym, root_id, node_id, depth of everything below each node, in a folder for each acronym."""
+    folder, rows = shared_folder(edges.sparkSession), descendants(edges)
+    rows.select("acronym", "root_id", "node_id", "depth").write.partitionBy("acronym").parquet(folder)
+    return _closure_at(edges.sparkSession, folder)
+
+
+def _closure_at(spark, folder: str) -> DataFrame:
+    out = spark.read.schema(CLOSURE).parquet(folder).select("acronym", "root_id", "node_id", "depth")
+    out.written_to = folder
+    return out
+
+
+def maintained(closure: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """The stored closure after edges came or went: edges are those of now, changed (acronym, parent_id) the parents of edges that
+    are new or gone.
+
+    A node's descendants can only change if it is such a parent, or was above one: on a way that did not exist before, the
+    first edge that changed starts at such a node. Only these nodes are searched again, and only the folders of their acronyms
+    are written; the rows of other nodes are copied within them.
+    """
+    spark, keys = closure.sparkSession, ["acronym", "root_id"]
+    at = changed.select("acronym", F.col("parent_id").alias("root_id")).distinct()
+    above = closure.join(at.withColumnRenamed("root_id", "node_id"), ["acronym", "node_id"], "left_semi").select(*keys)
+    touched = cut(at.unionByName(above).distinct())
+    fresh = descendants(edges.join(touched.select("acronym").distinct(), "acronym", "left_semi"), asked=touched)
+    same = closure.join(touched.select("acronym").distinct(), "acronym", "left_semi").join(touched, keys, "left_anti")
+    rows = cut(same.unionByName(fresh.select("acronym", "root_id", "node_id", "depth")))
+    emptied = touched.select("acronym").distinct().join(rows.select("acronym").distinct(), "acronym", "left_anti").collect()
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("acronym").parquet(closure.written_to)
+    for row in emptied:  # a dynamic overwrite leaves folders without new rows as they are
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{closure.written_to}/acronym={row['acronym']}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    discard(rows, touched)
+    return _closure_at(spark, closure.written_to)
+
+
 def provisional_roots(terms: DataFrame, edges: DataFrame, ontologies: DataFrame) -> DataFrame:
     """acronym, ld_id, pref_label, has_children of the roots (H1): an ontology that has provisional classes only gives all of
     them, without children; another one that is not flat gives its regular classes without a parent."""

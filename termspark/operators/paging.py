@@ -62,3 +62,14 @@ def page_within(rows: DataFrame, by: list[str], keys: list[str], page: int, size
     first = rows.withColumn("pos", F.row_number().over(W.partitionBy(*by).orderBy(*keys))).where(F.col("pos") <= page * size).join(totals, by)
     start = F.when(F.col("total") > (page - 1) * size, (page - 1) * size).otherwise(0)
     return first.where((F.col("pos") > start) & (F.col("pos") <= start + size)).withColumn("pos", (F.col("pos") - start).cast("int"))
+
+
+def first_pages(hits: DataFrame, requests: DataFrame, keys: list[Column]) -> DataFrame:
+    """hits with pos and total: each request's page (page, page_size) of its hits in the order of the keys.
+
+    hits has request_id, page, page_size, and should be written, as it is read twice: totals are counts, which combine before
+    they are shuffled, and rows are ranked behind a limit, the last row that any page shows, which every task applies first.
+    """
+    most = requests.agg(F.max(F.col("page") * F.col("page_size"))).first()[0] or 0
+    totals = hits.groupBy("request_id").agg(F.count("*").alias("total"))
+    return page_of(ranked(hits, keys).where(F.col("pos") <= most).join(totals, "request_id"))

@@ -6,74 +6,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from termspark.operators.paging import closest, page_of, ranked, with_defaults
+from termspark.operators.index import TermIndex, matches
+from termspark.operators.paging import closest, first_pages, page_of, ranked, with_defaults
+from termspark.sources import cut
 
 CLASSES, ONTOLOGIES, BRANCHES, VALUE_SETS = range(4)
 
 
-def match(label: Column, synonym: Column, query: Column) -> Column:
-    """prefLabel, synonym or null: what contains the query, without regard to case."""
-    q = F.lower(query)
-    return F.when(F.contains(F.lower(label), q), "prefLabel").when(F.contains(F.lower(synonym), q), "synonym")
+def texts_of(requests: DataFrame, text: str, ahead: Column | None = None) -> DataFrame:
+    """text, ahead: what an index is asked for, each once."""
+    low = requests.select(F.lower(F.trim(text)).alias("text"), (F.lit(False) if ahead is None else ahead).alias("ahead"))
+    return low.where("text <> ''").distinct()
 
 
-def grams(x: Column) -> Column:
-    """The distinct runs of three characters; of a shorter text, the text itself."""
-    return F.when(F.length(x) < 3, F.array(x)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3)))))
-
-
-def rarest(asked: DataFrame, index: DataFrame, pieces: Column) -> DataFrame:
-    """asked with `piece`, the one of its pieces that fewest rows of the index (piece, ...) have; requests with a piece that
-    none has cannot match, and go."""
-    sizes = index.groupBy("piece").agg(F.count("*").alias("n"))
-    each = asked.select("request_id", F.size(pieces).alias("all"), F.explode(pieces).alias("piece")).join(sizes, "piece")
-    best = each.groupBy("request_id", "all").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"), F.count("*").alias("known")).where("known = all")
-    return asked.join(best.select("request_id", "piece"), "request_id")
-
-
-def containing(asked: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """asked (request_id, text), rows (keys, names: lower-case texts): request_id and keys of the rows with a name that contains
-    the lower-case text. Requests meet rows on their text's rarest run of three characters, so the join follows the hits and
-    not the product of both tables; a text of one or two characters, which most names have, is compared with all."""
-    index = rows.select(*keys, F.explode(F.array_distinct(F.flatten(F.transform("names", grams)))).alias("piece"))
-    met = rarest(asked.where("length(text) >= 3"), index, grams(F.col("text"))).join(index, "piece").select("request_id", "text", *keys)
-    hits = met.join(rows, keys).where(F.exists("names", lambda n: F.contains(n, F.col("text")))).select("request_id", *keys)
-    low = rows.select(*keys, F.explode("names").alias("name"))
-    short = asked.where("length(text) < 3").join(low, F.contains("name", "text")).select("request_id", *keys).distinct()
-    return hits.unionByName(short)
-
-
-def _names(concepts: DataFrame) -> DataFrame:
-    return concepts.select("acronym", "ld_id", F.array_compact(F.array(F.lower("pref_label"), F.lower("synonym"))).alias("names"))
-
-
-def term_search(requests: DataFrame, concepts: DataFrame) -> DataFrame:
-    """requests (request_id, q, acronym, page, page_size), a row for each source, to ranked hits."""
-    met = containing(requests.select("request_id", F.lower("q").alias("text")).distinct(), _names(concepts), ["acronym", "ld_id"])
-    hits = requests.join(met, ["request_id", "acronym"]).join(concepts, ["acronym", "ld_id"]).withColumn("match_type", match(F.col("pref_label"), F.col("synonym"), F.col("q"))).where("match_type IS NOT NULL")
-    order = [*closest(F.col("pref_label"), F.col("q")), F.col("acronym"), F.col("ord")]
-    placed = ranked(hits, order).withColumn("total", F.count("*").over(W.partitionBy("request_id")))
+def term_search(requests: DataFrame, index: TermIndex) -> DataFrame:
+    """requests (request_id, q, acronym, page, page_size), a row for each source, to ranked hits among regular terms, by their
+    labels and synonyms."""
+    met = matches(index, texts_of(requests, "q")).where("match_type <> 'property' AND NOT is_provisional").withColumn("synonym", F.try_element_at("synonyms", F.lit(1)))
+    asked = requests.withColumn("text", F.lower(F.trim("q")))
+    hits = cut(asked.join(met.select("text", "acronym", "ld_id", "pref_label", "synonym", "ord", "match_type"), ["text", "acronym"]))
+    placed = first_pages(hits, requests, [*closest(F.col("pref_label"), F.col("q")), F.col("acronym"), F.col("ord")])
     matched = F.when((F.col("match_type") == "synonym") & (F.lower("synonym") != F.lower("pref_label")), F.col("synonym"))
-    return page_of(placed).select("request_id", "pos", "ld_id", "pref_label", "match_type", matched.alias("matched_synonym"), "total")
+    return placed.select("request_id", "pos", "ld_id", "pref_label", "match_type", matched.alias("matched_synonym"), "total")
 
 
-def source_rows(requests: DataFrame, sources: DataFrame, concepts: DataFrame, closure: DataFrame, matching: bool = False) -> DataFrame:
+def source_rows(requests: DataFrame, sources: DataFrame, concepts: DataFrame, closure: DataFrame, index: TermIndex | None = None) -> DataFrame:
     """All rows of each (request, source) before text and rank: request_id, source_type, source_idx, ld_id, pref_label, ord.
 
     Enumerated classes come from the request with their labels, whatever the table holds; an ontology gives all its concepts, a branch the descendants of its root, a
-    value set the values below it. Duplicates across sources stay. With `matching`, an ontology gives a request that has a
-    text only what contains it, found through an index.
+    value set the values below it. Duplicates across sources stay. With an index, an ontology gives a request that has a text only
+    what contains it.
     """
     asked = sources.join(requests.select("request_id"), "request_id", "left_semi")
     terms = concepts.select("acronym", "ld_id", "pref_label", "ord")
     picked = asked.where(F.col("source_type") == CLASSES).select("*", F.col("uri").alias("ld_id"), F.col("label").alias("pref_label"), F.col("source_idx").cast("long").alias("ord"))
     ontologies = asked.where(F.col("source_type") == ONTOLOGIES).drop("uri")
-    if matching:
+    if index is not None:
         texts = with_defaults(requests).where("input_text IS NOT NULL").select("request_id", F.lower("input_text").alias("text"))
-        labels = concepts.select("acronym", "ld_id", F.array_compact(F.array(F.lower("pref_label"))).alias("names"))
-        met = containing(texts, labels, ["acronym", "ld_id"])
-        some = ontologies.join(met, ["request_id", "acronym"]).join(terms, ["acronym", "ld_id"])
-        whole = ontologies.join(texts, "request_id", "left_anti").join(terms, "acronym").unionByName(some)
+        met = matches(index, texts.select("text", F.lit(False).alias("ahead")).distinct()).where("match_type = 'prefLabel' AND NOT is_provisional")
+        some = ontologies.join(texts, "request_id").join(met.select("text", "acronym", "ld_id", "pref_label", "ord"), ["text", "acronym"])
+        blank = ontologies.join(texts, "request_id", "left_anti").join(terms, "acronym")
+        whole = blank.unionByName(some.select(*blank.columns))
     else:
         whole = ontologies.join(terms, "acronym")
     below = asked.where(F.col("source_type").isin(BRANCHES, VALUE_SETS)).withColumnRenamed("uri", "root_id").join(closure, ["acronym", "root_id"]).withColumnRenamed("node_id", "ld_id").join(terms, ["acronym", "ld_id"])
@@ -153,18 +126,27 @@ def source_totals(requests: DataFrame, sources: DataFrame, concepts: DataFrame,
 
 
 def apply_actions(results: DataFrame, actions: DataFrame, terms: DataFrame) -> DataFrame:
-    """results (request_id, pos, ld_id, pref_label) after deletes and moves.
+    """results (request_id, pos, ld_id, pref_label) after deletes and moves; moved terms get their labels from terms (ld_id, pref_label)."""
+    moved = actions.where("action = 'move'").join(terms.select(F.col("ld_id").alias("term_uri"), "pref_label"), "term_uri")
+    return arranged(results, actions, moved)
+
+
+def arranged(results: DataFrame, actions: DataFrame, moved: DataFrame) -> DataFrame:
+    """results (request_id, pos, ld_id, pref_label) after actions (request_id, term_uri); moved: request_id, term_uri, position,
+    pref_label of the terms to put in.
 
     Every row that an action names goes; then the moved terms are put in by ascending position, those beyond the end are
     dropped, and the list is cut to its former length. A page is short, so each is folded in one array.
     """
     left = results.join(actions.select("request_id", F.col("term_uri").alias("ld_id")).distinct(), ["request_id", "ld_id"], "left_anti")
-    lists = left.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ld_id", "pref_label"))), lambda r: F.struct(r["ld_id"], r["pref_label"])).alias("rows"))
+    bare = lambda r: F.struct(r["ld_id"], r["pref_label"])
+    lists = left.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ld_id", "pref_label"))), bare).alias("rows"))
     sizes = results.groupBy("request_id").agg(F.count("*").cast("int").alias("size"))
-    moved = actions.where("action = 'move'").join(terms.select(F.col("ld_id").alias("term_uri"), "pref_label"), "term_uri")
-    moves = moved.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("term_uri").alias("ld_id"), "pref_label"))).alias("moves"))
+    put = F.struct("position", F.col("term_uri").alias("ld_id"), "pref_label")
+    moves = moved.groupBy("request_id").agg(F.array_sort(F.collect_list(put)).alias("moves"))
     empty = "cast(array() AS array<struct<ld_id:string,pref_label:string>>)"
     folded = f"""aggregate(coalesce(moves, array()), coalesce(rows, {empty}), (acc, m) -> CASE WHEN m.position < size(acc)
         THEN array_insert(acc, cast(m.position + 1 AS int), named_struct('ld_id', m.ld_id, 'pref_label', m.pref_label)) ELSE acc END)"""
-    done = sizes.join(lists, "request_id", "left").join(moves, "request_id", "left").select("request_id", F.slice(F.expr(folded), F.lit(1), F.col("size")).alias("rows"))
+    both = sizes.join(lists, "request_id", "left").join(moves, "request_id", "left")
+    done = both.select("request_id", F.slice(F.expr(folded), F.lit(1), F.col("size")).alias("rows"))
     return done.select("request_id", F.posexplode("rows").alias("pos", "r")).select("request_id", (F.col("pos") + 1).alias("pos"), "r.ld_id", "r.pref_label")

@@ -11,8 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termspark.functions import is_provisional_id, is_url, short_id, uri_key
-from termspark.operators.paging import closest, page_of, ranked
-from termspark.operators.search import containing, rarest
+from termspark.operators.index import TERM, TermIndex, matches
+from termspark.operators.paging import closest, first_pages, page_of, ranked
+from termspark.operators.search import texts_of
+from termspark.sources import cut
 
 #: The names of the kinds of terms in records.
 TYPES = {"class": "OntologyClass", "value_set": "ValueSet", "value": "Value"}
@@ -116,35 +118,33 @@ def scoped(entity: Column, scope: Column) -> Column:
     return F.array_contains(words, "all") | F.array_contains(words, plural)
 
 
-def bulk_search(requests: DataFrame, terms: DataFrame, closure: DataFrame) -> DataFrame:
+def unknown_sources(requests: DataFrame, ontologies: DataFrame) -> DataFrame:
+    """request_id, unknown of the requests whose source list (sources, an array, null for all) names an ontology that is not
+    there; they are rejected as not found."""
+    named = requests.select("request_id", F.explode("sources").alias("acronym"))
+    return named.join(ontologies.select("acronym"), "acronym", "left_anti").groupBy("request_id").agg(F.sort_array(F.collect_set("acronym")).alias("unknown"))
+
+
+def bulk_search(requests: DataFrame, index: TermIndex, closure: DataFrame) -> DataFrame:
     """Q1: requests (request_id, q, scope, suggest, subtree_root, max_depth, page, page_size) to ranked, paged hits.
 
-    A term matches by its label, a synonym or a property value (P10, its notation) that contains the trimmed query; with
-    `suggest` (P11), if the last word of the query begins a word of the label and all before it are words of the label.
-    A subtree keeps what lies below its root, up to max_depth levels (0: all). Rows without a label count, but do not
-    appear (P5). Terms are met through an index: of the query's runs of three characters, or of its words' beginnings, the
-    rarest is joined, and the match is checked on the text.
+    A term matches by its label, a synonym or a property value (P10) that contains the trimmed query; with `suggest` (P11), if
+    the last word of the query begins a word of the label and all before it are words of the label. A subtree keeps what lies
+    below its root, up to max_depth levels (0: all). A column `sources` (P8), an array or null, keeps the terms of these
+    ontologies. Rows without a label count, but do not appear (P5).
     """
-    asked = requests.withColumn("text", F.lower(F.trim("q"))).where("text <> ''")
-    names = F.array_compact(F.array(*[F.lower(c) for c in ("pref_label", "synonym", "notation")]))
-    rows = terms.withColumn("names", names)
-    met = containing(asked.where("NOT suggest").select("request_id", "text"), rows.select("acronym", "ld_id", "names"), ["acronym", "ld_id"])
-    words = rows.where("pref_label IS NOT NULL").select("acronym", "ld_id", F.array_distinct(F.split(F.lower("pref_label"), "[^\\p{L}\\p{N}]+")).alias("words"))
-    starts = words.select("acronym", "ld_id", F.explode("words").alias("word")).select("acronym", "ld_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1))), lambda i: F.substring("word", F.lit(1), i))).alias("piece")).distinct()
-    typed = asked.where("suggest").withColumn("typed", F.split("text", "[^\\p{L}\\p{N}]+"))
-    begun = rarest(typed, starts, F.array_distinct("typed")).join(starts, "piece").join(words, ["acronym", "ld_id"])
-    first, last = F.slice("typed", 1, F.size("typed") - 1), F.element_at("typed", -1)
-    suits = (F.size(F.array_except(first, F.col("words"))) == 0) & F.exists("words", lambda w: F.startswith(w, last))
-    met = met.unionByName(begun.where(suits).select("request_id", "acronym", "ld_id"))
-    found = met.join(asked, "request_id").join(rows, ["acronym", "ld_id"])
-    text = F.col("text")
-    kind = F.when(F.col("suggest"), "prefLabel").when(F.contains(F.lower("pref_label"), text), "prefLabel").when(F.contains(F.lower("synonym"), text), "synonym").when(F.contains(F.lower("notation"), text), "property")
+    asked = requests.withColumn("text", F.lower(F.trim("q"))).where("text <> ''").withColumnRenamed("suggest", "ahead")
+    if "sources" not in asked.columns:
+        asked = asked.withColumn("sources", F.lit(None).cast("array<string>"))
+    met = matches(index, texts_of(asked, "q", F.col("ahead")))
+    named = met.where("NOT ahead OR match_type = 'prefLabel'").select("text", "ahead", "match_type", *TERM)
+    found = asked.join(named, ["text", "ahead"]).where(F.col("sources").isNull() | F.array_contains("sources", F.col("acronym")))
     inside = closure.select("acronym", F.col("root_id").alias("subtree_root"), F.col("node_id").alias("ld_id"), "depth")
-    kept = found.withColumn("match_type", kind).where(F.col("match_type").isNotNull() & scoped(F.col("entity"), F.col("scope"))).join(inside, ["acronym", "subtree_root", "ld_id"], "left")
-    kept = kept.where("subtree_root IS NULL OR (depth IS NOT NULL AND (max_depth = 0 OR depth <= max_depth))")
-    placed = ranked(kept, [*[c.asc_nulls_last() for c in closest(F.col("pref_label"), F.col("text"))], F.col("acronym"), F.col("ord"), F.col("ld_id")]).withColumn("total", F.count("*").over(W.partitionBy("request_id")))
-    synonyms = F.when(F.col("match_type") == "synonym", matched_synonyms(F.coalesce("pref_label", F.lit("")), F.array("synonym"), F.col("q"))).otherwise(F.array().cast("array<string>"))
-    shown = page_of(placed).where("pref_label IS NOT NULL")
+    kept = found.where(scoped(F.col("entity"), F.col("scope"))).join(inside, ["acronym", "subtree_root", "ld_id"], "left")
+    kept = cut(kept.where("subtree_root IS NULL OR (depth IS NOT NULL AND (max_depth = 0 OR depth <= max_depth))").drop("properties", "sources"))
+    keys = [*[c.asc_nulls_last() for c in closest(F.col("pref_label"), F.col("text"))], F.col("acronym"), F.col("ord"), F.col("ld_id")]
+    shown = first_pages(kept, requests, keys).where("pref_label IS NOT NULL")
+    synonyms = F.when(F.col("match_type") == "synonym", matched_synonyms(F.coalesce("pref_label", F.lit("")), F.col("synonyms"), F.col("q"))).otherwise(F.array().cast("array<string>"))
     return shown.select("request_id", "pos", "ld_id", type_name(F.col("entity")).alias("type"), "pref_label", "match_type", synonyms.alias("matched_synonyms"), "is_provisional", "total")
 
 

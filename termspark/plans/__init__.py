@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termspark.operators import hierarchy, lookup, paging, search
+from termspark.plans import store
 from termspark.sources import BASE, shared_folder, views, with_views
 from termspark.streaming import latest_state, stream_state
 
@@ -169,9 +170,9 @@ def h7_value_set_tree(spark, sf_dir):
 
 
 def _search_requests(spark, sf_dir):
-    requests, concepts = views(spark, sf_dir, "requests", "concepts")
-    asked = requests.where("input_text <> ''").select("request_id", F.col("input_text").alias("q"), F.explode(F.array(F.lit("PART"), F.lit("VSN"))).alias("acronym"), "page", "page_size")
-    return asked, concepts
+    (requests,) = views(spark, sf_dir, "requests")
+    sources = F.explode(F.array(F.lit("PART"), F.lit("VSN"))).alias("acronym")
+    return requests.where("input_text <> ''").select("request_id", F.col("input_text").alias("q"), sources, "page", "page_size")
 
 
 @query(
@@ -185,19 +186,17 @@ def _search_requests(spark, sf_dir):
     "requests", "concepts",
 )
 def q1_term_search(spark, sf_dir):
-    return search.term_search(*_search_requests(spark, sf_dir))
+    return search.term_search(_search_requests(spark, sf_dir), store.term_index(spark, sf_dir))
 
 
 def _asked(spark, sf_dir):
-    """(requests, sources, concepts, closure); the closure of what the sources' branches and value sets name."""
-    requests, sources, concepts, edges = views(spark, sf_dir, "requests", "sources", "concepts", "edges")
-    branches = sources.where("source_type > 1").select("acronym", F.col("uri").alias("root_id"))
-    return requests, sources, concepts, hierarchy.descendants(edges, asked=branches)
+    """(requests, sources, concepts, closure); the closure is stored."""
+    return *views(spark, sf_dir, "requests", "sources", "concepts"), store.closure(spark, sf_dir)
 
 
 def _sources(spark, sf_dir, matching=False):
     asked = _asked(spark, sf_dir)
-    return asked[0], search.source_rows(*asked, matching=matching)
+    return asked[0], search.source_rows(*asked, index=store.term_index(spark, sf_dir) if matching else None)
 
 
 ROWS = """, r AS (SELECT s.request_id, source_type, source_idx, uri AS ld_id, label AS pref_label, CAST(source_idx AS BIGINT) AS ord FROM sources s WHERE source_type = 0
@@ -296,4 +295,4 @@ def s8_catalog_dedupe(spark, sf_dir):
     return feed.groupBy("term_key").agg(F.min_by("op", order).alias("first_op"), F.max_by("op", order).alias("last_op"), F.min("ts").alias("first_at"), F.count("*").alias("versions"))
 
 
-from termspark.plans import records, terms  # noqa: E402, F401
+from termspark.plans import records, terms, whole  # noqa: E402, F401

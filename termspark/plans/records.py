@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termspark.operators import hierarchy, lookup, properties, search, validate
-from termspark.plans import ORACLES, _sources, query, recursive
+from termspark.operators import hierarchy, index, lookup, properties, search, validate
+from termspark.plans import ORACLES, _sources, query, recursive, store
 from termspark.sources import BASE, documents, shared_folder, views
 
 
@@ -46,7 +46,9 @@ def q2_property_search(spark, sf_dir):
     asked = part.groupBy("p_type", "p_size").agg(F.min("p_partkey").alias("request_id")).select(
         "request_id", F.concat(F.lower("p_type"), F.lit(" "), size).alias("q"), F.lit("PART").alias("acronym"), (size % 2 == 0).alias("exact_match"),
         (size % 5 == 0).alias("require_definitions"), (1 + size % 2).alias("page"), F.lit(4).alias("page_size"))
-    return properties.property_search(asked, _properties(spark, sf_dir))
+    known = _properties(spark, sf_dir)
+    stored = store.kept(spark, sf_dir, "properties", lambda: index.build(properties.property_terms(known)))
+    return properties.property_search(asked, known, stored)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termspark.functions import acronym_of, is_property_type, short_type
 from termspark.operators import hierarchy, lookup, paging, properties, search, terms, validate
-from termspark.plans import NAMES, ORACLES, ROWS, SHORT, _sources, query, recursive
+from termspark.plans import NAMES, ORACLES, ROWS, SHORT, _sources, query, recursive, store
 from termspark.sources import BASE, documents, shared_folder, views, with_views
 from termspark.streaming import refresh_catalog
 
@@ -243,9 +243,7 @@ def p15_children_of_sets(spark, sf_dir):
 def q1_bulk_search(spark, sf_dir):
     """The whole bulk search over regular and provisional terms."""
     (requests,) = views(spark, sf_dir, "term_requests")
-    every, edges, _ = _terms(spark, sf_dir)
-    asked = requests.where("subtree_root IS NOT NULL").select(F.lit("PART").alias("acronym"), F.col("subtree_root").alias("root_id"))
-    found = terms.bulk_search(requests, every, hierarchy.descendants(edges, asked=asked))
+    found = terms.bulk_search(requests, store.term_index(spark, sf_dir), store.closure(spark, sf_dir))
     return found.withColumn("matched_synonyms", F.array_join("matched_synonyms", ","))
 
 

@@ -60,6 +60,29 @@ UNION ALL SELECT CAST(r_regionkey AS BIGINT), 2, 0, 'GEO', concat('{BASE}/GEO/re
     "actions": f"""
 SELECT CAST(n_regionkey AS BIGINT) AS request_id, CASE WHEN n_nationkey % 2 = 0 THEN 'delete' ELSE 'move' END AS action,
        concat('{BASE}/GEO/nation#N', n_nationkey) AS term_uri, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE n_nationkey % 4 END AS position FROM nation""",
+    #: One integrated search for each part, on every route: text for odd keys, by the last digit enumerated classes, an
+    #: ontology, a branch, a value set or several of them.
+    "calls": """
+SELECT p_partkey AS request_id,
+       CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN '  ' WHEN p_partkey % 20 = 7 THEN 'Term 1'
+            WHEN p_partkey % 8 = 1 THEN concat(split_part(p_name, ' ', 1), ' ', substr(split_part(p_name, ' ', 2), 1, 2))
+            WHEN p_partkey % 8 = 3 THEN concat('brand ', p_size % 10) WHEN p_partkey % 8 = 5 THEN concat(' alias ', p_size) ELSE concat('USER', p_size) END AS input_text,
+       1 + CAST(p_partkey % 3 AS INT) AS page, 3 + CAST(p_partkey % 5 AS INT) AS page_size FROM part""",
+    "call_sources": f"""
+SELECT p_partkey AS request_id, 0 AS source_type, 0 AS source_idx, 'PART' AS acronym, concat('{BASE}/PART/part#P', p_partkey) AS uri, p_name AS label FROM part WHERE p_partkey % 10 IN (0, 1, 8, 9)
+UNION ALL SELECT p_partkey, 0, 1, 'PART', concat('{BASE}/PART/brand#', p_type, '_', p_brand), upper(p_brand) FROM part WHERE p_partkey % 10 IN (0, 1, 8, 9)
+UNION ALL SELECT p_partkey, 0, 2, 'PART', concat('{BASE}/PART/part#P', p_partkey + 1), concat(p_name, ' ', p_size) FROM part WHERE p_partkey % 10 IN (0, 1, 8, 9)
+UNION ALL SELECT p_partkey, 1, 0, CASE WHEN p_partkey % 3 = 0 THEN 'NEW' ELSE 'PART' END, CAST(NULL AS VARCHAR(1)), CAST(NULL AS VARCHAR(1)) FROM part WHERE p_partkey % 10 IN (2, 3)
+UNION ALL SELECT p_partkey, 1, 0, 'PART', NULL, NULL FROM part WHERE p_partkey % 10 IN (8, 9)
+UNION ALL SELECT p_partkey, 1, 1, 'NEW', NULL, NULL FROM part WHERE p_partkey % 10 IN (8, 9)
+UNION ALL SELECT p_partkey, 2, 0, 'PART', concat('{BASE}/PART/type#', p_type), NULL FROM part WHERE p_partkey % 10 IN (4, 5, 8, 9)
+UNION ALL SELECT p_partkey, 3, 0, 'VSN', concat('{BASE}/VSN/', p_type), NULL FROM part WHERE p_partkey % 10 IN (8, 9) OR p_partkey % 10 IN (6, 7) AND p_partkey % 20 NOT IN (6, 7)
+UNION ALL SELECT p_partkey, 3, 1, 'VSW', concat('{BASE}/provisional_classes/S', p_partkey * 10), NULL FROM part WHERE p_partkey % 10 IN (8, 9) OR p_partkey % 20 IN (6, 7)""",
+    "call_actions": f"""
+SELECT p_partkey AS request_id, 'move' AS action, concat('{BASE}/PART/part#P', p_partkey) AS term_uri, 'OntologyClass' AS type, CAST(p_partkey % 4 AS INT) AS position FROM part WHERE p_partkey % 3 = 1
+UNION ALL SELECT p_partkey, 'move', concat('{BASE}/VSN/P', p_partkey), 'Value', 4 + CAST(p_partkey % 2 AS INT) FROM part WHERE p_partkey % 3 = 1
+UNION ALL SELECT p_partkey, 'move', concat('{BASE}/nowhere#', p_partkey), 'OntologyClass', 0 FROM part WHERE p_partkey % 9 = 1
+UNION ALL SELECT p_partkey, 'delete', concat('{BASE}/PART/part#P', p_partkey + 1), 'OntologyClass', NULL FROM part WHERE p_partkey % 3 = 1""",
     #: A feed of changes to provisional terms, one key per user.
     "change_feed": """
 SELECT user_id AS term_key, ts, event_id AS seq,
@@ -150,6 +173,18 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int | None = None, distinct: bool = False) -> DataFrame:
+    """df written to the shared folder in buckets by `key`, sorted in each: a join on the key moves only its other side.
+    distinct: equal rows are written once."""
+    spark, path, name = df.sparkSession, shared_folder(df.sparkSession), f"termspark_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, key)
+    (dealt.distinct() if distinct else dealt).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.written_to = path
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `cut` has written and that nothing will read again."""
     for df in tables:
