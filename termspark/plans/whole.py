@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termspark.operators import integrated, ordinals
-from termspark.operators.search import ONTOLOGIES
+from termspark.operators import hierarchy, index, integrated, ordinals, terms
+from termspark.operators.search import ONTOLOGIES, texts_of
 from termspark.plans import ORACLES, query, recursive
-from termspark.plans.store import source_rows, store
-from termspark.plans.terms import BASES, TERMS
-from termspark.sources import views
+from termspark.plans.store import READ, closure, searchable, source_rows, store, term_index
+from termspark.plans.terms import BASES, KIND, TERMS
+from termspark.sources import BASE, views, with_views
 
 STORED = f""", {TERMS.removeprefix('WITH ')},
   named AS (SELECT *, list_filter([lower(pref_label), lower(synonym), lower(notation), lower(creator)], lambda n: n IS NOT NULL) AS names FROM terms),
@@ -114,3 +114,115 @@ def l13_class_pages(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     asked = part.select(k.alias("request_id"), acronym.alias("acronym"), (1 + F.floor(k / 7)).alias("page"), (2 + k % 9).alias("page_size"))
     return ordinals.class_pages(asked, source_rows(spark, sf_dir), ONTOLOGIES)
+
+
+ASKED = """asked AS (SELECT p_partkey AS request_id, CASE p_partkey % 4 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN concat('user', p_size) WHEN 2 THEN concat('BRAND#', p_size) ELSE concat('alias ', p_size) END AS q,
+    CASE p_partkey % 7 WHEN 0 THEN 'PART' WHEN 1 THEN 'PART,VSN' WHEN 2 THEN 'NEW,VSW' WHEN 3 THEN 'PART,NOPE' WHEN 4 THEN 'NO,NEW,NOT' END AS sources, 1 + p_partkey % 2 AS page, 3 AS page_size FROM part)"""
+
+
+@query()
+def q1_source_search(spark, sf_dir):
+    """Searches with source lists over labels, synonyms and all properties; unknown sources are rejected."""
+    part, (ontologies,) = spark.read.parquet(f"{sf_dir}/part.parquet"), views(spark, sf_dir, "ontologies")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    q = F.when(k % 4 == 0, F.split_part("p_name", F.lit(" "), F.lit(1))).when(k % 4 == 1, F.concat(F.lit("user"), size)).when(k % 4 == 2, F.concat(F.lit("BRAND#"), size)).otherwise(F.concat(F.lit("alias "), size))
+    lists = F.element_at(F.array(*[F.lit(x) for x in ("PART", "PART,VSN", "NEW,VSW", "PART,NOPE", "NO,NEW,NOT", None, None)]), (k % 7 + 1).cast("int"))
+    fixed = {"scope": F.lit("all"), "suggest": F.lit(False), "subtree_root": F.lit(None).cast("string"), "max_depth": F.lit(0), "page": 1 + k % 2, "page_size": F.lit(3)}
+    asked = part.select(k.alias("request_id"), q.alias("q"), F.split(lists, ",").alias("sources"), *[c.alias(n) for n, c in fixed.items()])
+    bad = terms.unknown_sources(asked, ontologies)
+    found = terms.bulk_search(asked.join(bad, "request_id", "left_anti"), term_index(spark, sf_dir), closure(spark, sf_dir))
+    rows = found.select("request_id", F.lit(200).alias("status"), "pos", "ld_id", "match_type", F.array_join("matched_synonyms", ",").alias("matched"), "total")
+    none = F.lit(None)
+    rejects = bad.select("request_id", F.lit(404).alias("status"), none.cast("int").alias("pos"), none.cast("string").alias("ld_id"), none.cast("string").alias("match_type"), F.array_join("unknown", ",").alias("matched"), none.cast("long").alias("total"))
+    return rows.unionByName(rejects)
+
+
+ORACLES["q1_source_search"] = with_views(
+    TERMS + f""", {ASKED},
+  bad AS (SELECT request_id, string_agg(DISTINCT s, ',' ORDER BY s) AS unknown FROM (SELECT request_id, unnest(string_split(sources, ',')) AS s FROM asked) WHERE s NOT IN (SELECT acronym FROM ontologies) GROUP BY request_id),
+  hits AS (SELECT a.*, t.*, CASE WHEN contains(lower(pref_label), lower(q)) THEN 'prefLabel' WHEN contains(lower(synonym), lower(q)) THEN 'synonym' ELSE 'property' END AS match_type
+    FROM asked a JOIN terms t ON (sources IS NULL OR list_contains(string_split(sources, ','), t.acronym)) AND (contains(lower(pref_label), lower(q)) OR contains(lower(synonym), lower(q)) OR contains(lower(notation), lower(q)) OR contains(lower(creator), lower(q)))
+    WHERE request_id NOT IN (SELECT request_id FROM bad)),
+  p AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS total, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN pref_label IS NULL THEN 2 WHEN contains(lower(pref_label), lower(q)) THEN 0 ELSE 1 END, levenshtein(lower(pref_label), lower(q)) NULLS LAST, acronym, ord, ld_id) AS rn FROM hits),
+  s AS (SELECT *, CASE WHEN (page - 1) * page_size < total THEN (page - 1) * page_size ELSE 0 END AS start FROM p)
+  SELECT request_id, 200 AS status, CAST(rn - start AS INT) AS pos, ld_id, match_type, CASE WHEN match_type = 'synonym' AND lower(synonym) <> lower(coalesce(pref_label, '')) THEN synonym ELSE '' END AS matched, total
+    FROM s WHERE rn > start AND rn <= start + page_size AND pref_label IS NOT NULL
+  UNION ALL SELECT request_id, 404, NULL, NULL, NULL, unknown, NULL FROM bad""",
+    *BASES, "ontologies",
+)
+
+
+CHANGES = """op AS (SELECT ld_id, acronym, entity, ord, CASE ord % 12 WHEN 0 THEN 'delete' WHEN 1 THEN 'rename' WHEN 2 THEN 'delete' WHEN 3 THEN 'rename' ELSE 'keep' END AS one, CASE ord % 8 WHEN 0 THEN 'rename' WHEN 1 THEN 'delete' WHEN 4 THEN 'delete' ELSE 'keep' END AS two FROM provisional)"""
+
+
+def _changes(provisional, column, label):
+    """(created, deleted) of a round of changes: renamed terms in full, and the keys of deleted ones."""
+    renamed = provisional.where(F.col(column) == "rename").withColumn("pref_label", F.concat(F.lit(f"{label} "), "ord"))
+    return renamed, provisional.where(F.col(column) == "delete").select("acronym", "ld_id")
+
+
+@query()
+def m7_read_your_writes(spark, sf_dir):
+    """M7: two rounds of changes to provisional terms are found through the stored index, which is not rebuilt: terms are renamed,
+    deleted, deleted after a change, and come back after a deletion."""
+    concepts, edges, provisional = views(spark, sf_dir, *BASES)
+    of = lambda remainder: F.when(remainder, "rename")
+    k = F.col("ord")
+    one = of((k % 12).isin(1, 3)).when((k % 12).isin(0, 2), "delete").otherwise("keep")
+    two = of(k % 8 == 0).when((k % 8).isin(1, 4), "delete").otherwise("keep")
+    marked = provisional.withColumns({"one": one, "two": two})
+    now = term_index(spark, sf_dir)
+    for column, label in (("one", "first revision"), ("two", "second revision")):
+        renamed, deleted = _changes(marked, column, label)
+        rows = searchable(terms.union_terms(concepts.where("false"), renamed, edges, READ))
+        now = index.changed(now, rows, deleted)
+    asked = spark.createDataFrame([(q,) for q in ("revision", "first rev", "second revision 1", "term 1", "alias 2")], "q string")
+    return index.matches(now, texts_of(asked, "q")).select("text", "match_type", "acronym", "ld_id", "pref_label")
+
+
+ORACLES["m7_read_your_writes"] = with_views(
+    TERMS + f""", {CHANGES},
+  now AS (SELECT t.acronym, t.ld_id, CASE WHEN two = 'rename' THEN concat('second revision ', o.ord) WHEN one = 'rename' THEN concat('first revision ', o.ord) ELSE t.pref_label END AS pref_label, synonym, notation, creator
+    FROM terms t LEFT JOIN op o ON o.ld_id = t.ld_id AND o.acronym = t.acronym WHERE o.ld_id IS NULL OR NOT (two = 'delete' OR one = 'delete' AND two = 'keep')),
+  asked AS (SELECT unnest(['revision', 'first rev', 'second revision 1', 'term 1', 'alias 2']) AS text)
+  SELECT text, CASE WHEN contains(lower(pref_label), text) THEN 'prefLabel' WHEN contains(lower(synonym), text) THEN 'synonym' ELSE 'property' END AS match_type, acronym, ld_id, pref_label
+  FROM now JOIN asked ON contains(lower(pref_label), text) OR contains(lower(synonym), text) OR contains(lower(notation), text) OR contains(lower(creator), text)""",
+    *BASES,
+)
+
+
+MOVED = f"""moved AS (SELECT user_id, event_type, CAST(event_id % 25 AS INT) AS nation FROM events WHERE event_id IN (SELECT max(event_id) FROM events WHERE event_type IN ('error', 'signup') GROUP BY user_id)),
+  old AS (SELECT acronym, child_id, parent_id FROM edges),
+  gone AS (SELECT o.acronym, o.child_id, o.parent_id FROM old o JOIN moved m ON o.child_id = concat('{BASE}/GEO/customer#C', user_id)
+    UNION ALL SELECT o.acronym, o.child_id, o.parent_id FROM old o WHERE o.acronym = 'VSN' AND o.parent_id = '{BASE}/VSN/PROMO'
+    UNION ALL SELECT o.acronym, o.child_id, o.parent_id FROM old o WHERE o.child_id = '{BASE}/GEO/nation#N3'),
+  came AS (SELECT 'GEO' AS acronym, concat('{BASE}/GEO/customer#C', user_id) AS child_id, concat('{BASE}/GEO/nation#N', nation) AS parent_id FROM moved WHERE event_type = 'signup'
+    UNION ALL SELECT 'GEO', '{BASE}/GEO/nation#N3', '{BASE}/GEO/nation#N4' UNION ALL SELECT 'PART', '{BASE}/PART/type#SMALL', '{BASE}/PART/type#LARGE')"""
+
+
+@query()
+def h9_maintained_closure(spark, sf_dir):
+    """H9: a stored closure after customers moved to other nations or left, a nation came below another one, a type below another
+    type, and a value set lost its values."""
+    (edges,) = views(spark, sf_dir, "edges")
+    old = edges.select("acronym", "child_id", "parent_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type").isin("error", "signup"))
+    last = events.groupBy("user_id").agg(F.max_by(F.struct("event_type", (F.col("event_id") % 25).cast("int").alias("nation")), "event_id").alias("e"))
+    moved = last.select(F.concat(F.lit(f"{BASE}/GEO/customer#C"), "user_id").alias("child_id"), "e.event_type", F.concat(F.lit(f"{BASE}/GEO/nation#N"), "e.nation").alias("parent_id"))
+    nation = [f"{BASE}/GEO/nation#N{k}" for k in (3, 4)]
+    left = (F.col("acronym") == "VSN") & (F.col("parent_id") == f"{BASE}/VSN/PROMO") | (F.col("child_id") == nation[0])
+    gone = old.join(moved.select("child_id"), "child_id", "left_semi").select(*old.columns).unionByName(old.where(left))
+    steps = spark.createDataFrame([("GEO", *nation), ("PART", f"{BASE}/PART/type#SMALL", f"{BASE}/PART/type#LARGE")], "acronym string, child_id string, parent_id string")
+    came = moved.where("event_type = 'signup'").select(F.lit("GEO").alias("acronym"), "child_id", "parent_id").unionByName(steps)
+    now = old.join(gone, old.columns, "left_anti").unionByName(came)
+    return hierarchy.maintained(hierarchy.stored_closure(old), now, gone.unionByName(came))
+
+
+ORACLES["h9_maintained_closure"] = (
+    with_views(
+        f"""WITH {MOVED}, now AS (SELECT * FROM old WHERE (acronym, child_id, parent_id) NOT IN (SELECT (acronym, child_id, parent_id) FROM gone) UNION ALL SELECT * FROM came),
+  way(acronym, root_id, node_id, depth) AS (SELECT acronym, parent_id, child_id, 1 FROM now UNION SELECT w.acronym, w.root_id, e.child_id, depth + 1 FROM way w JOIN now e ON e.acronym = w.acronym AND e.parent_id = w.node_id)
+  SELECT acronym, root_id, node_id, min(depth) AS depth FROM way GROUP BY ALL""",
+        "edges",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
