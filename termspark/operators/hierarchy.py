@@ -101,12 +101,56 @@ def value_tree(values: DataFrame, edges: DataFrame) -> DataFrame:
     return values.join(first, ["acronym", "value_id"]).join(below, ["acronym", "set_id"]).select("value_id", "set_id", "node_id", (F.col("node_id") == F.col("value_id")).alias("on_path"))
 
 
-def tree_to(targets: DataFrame, concepts: DataFrame, edges: DataFrame, ontologies: DataFrame, closure: DataFrame) -> DataFrame:
-    """target_id, parent_id, node_id, on_path: all roots, and the children of each strict ancestor of the target."""
-    above = targets.join(closure.withColumnRenamed("node_id", "target_id"), ["acronym", "target_id"]).select("acronym", "target_id", "root_id")
-    tops = roots(concepts, edges, ontologies).select("acronym", F.col("ld_id").alias("node_id"))
-    first = targets.join(tops, "acronym").select("acronym", "target_id", F.lit(None).cast("string").alias("parent_id"), "node_id")
-    below = above.join(edges, (edges.acronym == above.acronym) & (edges.parent_id == above.root_id)).select(above.acronym, "target_id", "parent_id", F.col("child_id").alias("node_id"))
-    nodes = first.unionByName(below)
-    path = above.select("acronym", "target_id", F.col("root_id").alias("node_id")).unionByName(targets.select("acronym", "target_id", F.col("target_id").alias("node_id"))).withColumn("hit", F.lit(True))
-    return nodes.join(path, ["acronym", "target_id", "node_id"], "left").select("target_id", "parent_id", "node_id", F.coalesce("hit", F.lit(False)).alias("on_path"))
+def ancestors(targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """acronym, target_id, node_id, steps: everything above each target (acronym, target_id), with the least number of steps.
+
+    A backward search from the targets: each round goes up one edge from what was found last and keeps what is new, so the work
+    follows the targets' ways up, whatever lies below them. Cycles end, and a target is never its own ancestor.
+    """
+    up = edges.select("acronym", F.col("child_id").alias("node_id"), "parent_id").distinct()
+    keys = ["acronym", "target_id", "node_id"]
+    front = cut(targets.select("acronym", "target_id", F.col("target_id").alias("node_id"), F.lit(0).alias("steps")).distinct())
+    seen, steps = front, 0
+    while not front.isEmpty():
+        steps += 1
+        fresh = front.join(up, ["acronym", "node_id"]).select("acronym", "target_id", F.col("parent_id").alias("node_id")).distinct()
+        front = cut(fresh.join(seen, keys, "left_anti").withColumn("steps", F.lit(steps)))
+        seen = cut(seen.unionByName(front)) if steps % 8 == 0 else seen.unionByName(front)
+    return seen.where("steps > 0")
+
+
+def tree_to(targets: DataFrame, tops: DataFrame, edges: DataFrame) -> DataFrame:
+    """acronym, target_id, parent_id, node_id, on_path: the roots (tops: acronym, ld_id) of each target's ontology, and the
+    children of each of its ancestors. What leads to the target, and the target itself, is on the path."""
+    above = cut(ancestors(targets, edges))
+    first = targets.join(tops.select("acronym", F.col("ld_id").alias("node_id")), "acronym").select("acronym", "target_id", F.lit(None).cast("string").alias("parent_id"), "node_id")
+    step = edges.select("acronym", "parent_id", F.col("child_id").alias("node_id"))
+    below = above.select("acronym", "target_id", F.col("node_id").alias("parent_id")).join(step, ["acronym", "parent_id"])
+    own = targets.select("acronym", "target_id", F.col("target_id").alias("node_id"))
+    path = above.select("acronym", "target_id", "node_id").unionByName(own).withColumn("hit", F.lit(True))
+    nodes = first.unionByName(below.select(*first.columns))
+    return nodes.join(path, ["acronym", "target_id", "node_id"], "left").select(*first.columns, F.coalesce("hit", F.lit(False)).alias("on_path"))
+
+
+def with_children(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (acronym, node_id) with has_children."""
+    parent = edges.select("acronym", F.col("parent_id").alias("node_id"), F.lit(True).alias("has")).distinct()
+    return nodes.join(parent, ["acronym", "node_id"], "left").withColumn("has_children", F.coalesce("has", F.lit(False))).drop("has")
+
+
+def class_trees(targets: DataFrame, terms: DataFrame, edges: DataFrame, ontologies: DataFrame) -> DataFrame:
+    """target_id, parent_id, node_id, pref_label, on_path, has_children for targets (acronym, target_id).
+
+    An ontology with provisional classes only has no edges: its tree is the list of its classes, none on a path. A flat ontology
+    has no tree.
+    """
+    kinds = terms.groupBy("acronym").agg(F.bool_and("is_provisional").alias("only_new"))
+    classes = terms.where("entity = 'class'").join(kinds, "acronym")
+    listed = classes.where("only_new").select("acronym", F.col("ld_id").alias("node_id"), "pref_label")
+    none = F.lit(None).cast("string").alias("parent_id")
+    new = targets.join(listed, "acronym").select("target_id", none, "node_id", "pref_label", F.lit(False).alias("on_path"), F.lit(False).alias("has_children"))
+    regular = classes.where("NOT only_new AND NOT is_provisional")
+    deep = targets.join(ontologies.where("NOT is_flat").select("acronym"), "acronym", "left_semi").join(kinds.where("NOT only_new"), "acronym", "left_semi")
+    nodes = with_children(tree_to(deep, roots(regular, edges, ontologies), edges), edges)
+    named = nodes.join(regular.select("acronym", F.col("ld_id").alias("node_id"), "pref_label"), ["acronym", "node_id"], "left")
+    return new.unionByName(named.select(*new.columns))

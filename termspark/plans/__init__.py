@@ -145,9 +145,8 @@ ORACLES["h4_descendants"] = recursive(" SELECT acronym, root_id, node_id FROM cl
 @query()
 def h5_tree(spark, sf_dir):
     concepts, edges, ontologies = views(spark, sf_dir, "concepts", "edges", "ontologies")
-    closure = hierarchy.descendants(edges)
     targets = concepts.where("acronym = 'PART'").select("acronym", F.col("ld_id").alias("target_id"))
-    return hierarchy.tree_to(targets, concepts, edges, ontologies, closure)
+    return hierarchy.tree_to(targets, hierarchy.roots(concepts, edges, ontologies), edges).drop("acronym")
 
 
 ORACLES["h5_tree"] = recursive(
@@ -282,10 +281,16 @@ def m4_latest_state(spark, sf_dir):
 
 @query(STATE + " SELECT term_key, label, weight, seq FROM state WHERE op <> 'delete'", "change_feed")
 def m5_stream_state(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    """Two runs of one stream over files that arrive in two halves, two files a batch: the second run goes on from the first."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     op = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("update")
-    to_feed = lambda b: b.select(F.col("user_id").alias("term_key"), "ts", F.col("event_id").alias("seq"), op.alias("op"), F.col("event_type").alias("label"), F.when(F.col("event_type") != "view", F.col("value")).alias("weight"))
-    return stream_state(spark, f"{sf_dir}/events.parquet*", schema, to_feed, shared_folder(spark))
+    weight = F.when(F.col("event_type") != "view", F.col("value")).alias("weight")
+    to_feed = lambda b: b.select(F.col("user_id").alias("term_key"), "ts", F.col("event_id").alias("seq"), op.alias("op"), F.col("event_type").alias("label"), weight)
+    files, folder = shared_folder(spark), shared_folder(spark)
+    for half in (0, 1):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half).repartition(4, "event_id").write.mode("append").parquet(files)
+        state = stream_state(spark, files, events.schema, to_feed, folder, files_per_batch=2)
+    return state
 
 
 @query("SELECT term_key, first(op ORDER BY ts, seq) AS first_op, last(op ORDER BY ts, seq) AS last_op, min(ts) AS first_at, count(*) AS versions FROM change_feed GROUP BY term_key", "change_feed")

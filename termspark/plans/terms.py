@@ -399,13 +399,49 @@ def s9_snapshot(spark, sf_dir):
     return spark.read.schema(catalog.schema).parquet(folder).select(*catalog.columns)
 
 
+def _catalog(spark, sf_dir, to_feed):
+    """The regular value sets, and those of VSW as a stream of orders in files keeps them: acronym, ld_id, pref_label,
+    collection_ord, ord."""
+    (ontologies,) = views(spark, sf_dir, "ontologies")
+    orders, files = spark.read.parquet(f"{sf_dir}/orders.parquet"), shared_folder(spark)
+    orders.repartition(6, "o_orderkey").write.parquet(files)
+    made = refresh_catalog(spark, files, orders.schema, to_feed, shared_folder(spark), files_per_batch=2)
+    regular = lookup.all_value_sets(_terms(spark, sf_dir)[0].where("NOT is_provisional"), ontologies)
+    place = ontologies.where("acronym = 'VSW'").select("acronym", F.col("ord").alias("collection_ord"))
+    return regular.unionByName(made.withColumn("acronym", F.lit("VSW")).join(place, "acronym").select(*regular.columns))
+
+
+def _set_feed(orders, op, label):
+    """Changes to the provisional sets, ten orders each, by order key; the rest of the orders change nothing."""
+    k = F.col("o_orderkey")
+    key = F.concat(F.lit(f"{BASE}/provisional_classes/S"), k - k % 10)
+    none = F.lit(None).cast("double").alias("weight")
+    return orders.select(key.alias("term_key"), F.timestamp_seconds(k).alias("ts"), k.alias("seq"), op.alias("op"), label.alias("label"), none).where("op IS NOT NULL")
+
+
 @query(CATALOG, *BASES, "ontologies")
 def m6_catalog_refresh(spark, sf_dir):
-    """M6: changes arrive as a stream; every batch writes the catalog anew, and the last one that is complete is read."""
-    (ontologies,) = views(spark, sf_dir, "ontologies")
-    every, *_ = _terms(spark, sf_dir)
-    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
-    return refresh_catalog(spark, f"{sf_dir}/orders.parquet*", schema, lambda: lookup.all_value_sets(every, ontologies), shared_folder(spark))
+    """M6: created sets arrive as a stream of files; the catalog is kept from the rows of each batch."""
+    k = F.col("o_orderkey")
+    label = F.concat(F.split_part("o_orderpriority", F.lit("-"), F.lit(2)), F.lit(" term "), k)
+    return _catalog(spark, sf_dir, lambda orders: _set_feed(orders, F.when(k % 10 == 0, "create"), label))
+
+
+@query(
+    TERMS
+    + f""", c AS (SELECT o_orderkey - o_orderkey % 10 AS k, o_orderkey AS seq, CASE WHEN o_orderkey % 10 = 0 THEN 'create' WHEN o_orderkey % 10 = 3 THEN 'update' WHEN o_orderkey % 10 = 7 AND o_orderkey // 10 % 3 = 0 THEN 'delete' WHEN o_orderkey % 10 = 9 AND o_orderkey // 10 % 2 = 0 THEN 'create' END AS op FROM orders),
+    since AS (SELECT k, max(seq) AS ord FROM c WHERE op IN ('create', 'delete') GROUP BY k),
+    now AS (SELECT k, s.ord, max(seq) AS last, arg_max(op, seq) AS op FROM c JOIN since s USING (k) WHERE op IS NOT NULL AND seq >= s.ord GROUP BY k, s.ord)
+    SELECT t.acronym, t.ld_id, pref_label, o.ord AS collection_ord, t.ord FROM terms t JOIN ontologies o ON o.acronym = t.acronym WHERE entity = 'value_set' AND NOT is_provisional
+    UNION ALL SELECT 'VSW', concat('{BASE}/provisional_classes/S', k), concat(op, ' ', last), (SELECT ord FROM ontologies WHERE acronym = 'VSW'), ord FROM now WHERE op <> 'delete'""",
+    *BASES, "ontologies",
+)
+def m6_catalog_changes(spark, sf_dir):
+    """Sets are created, renamed, deleted and created again, in three batches whose order is not that of the changes."""
+    k = F.col("o_orderkey")
+    digit, group = k % 10, F.floor(k / 10)
+    op = F.when(digit == 0, "create").when(digit == 3, "update").when((digit == 7) & (group % 3 == 0), "delete").when((digit == 9) & (group % 2 == 0), "create")
+    return _catalog(spark, sf_dir, lambda orders: _set_feed(orders, op, F.concat(op, F.lit(" "), k)))
 
 
 @query("SELECT acronym, ld_id, coalesce(nullif(pref_label, ''), label) AS pref_label, coalesce(definition, '') AS definitions FROM properties", "properties")

@@ -226,3 +226,48 @@ ORACLES["h9_maintained_closure"] = (
         "edges",
     ).replace("WITH ", "WITH RECURSIVE ", 1)
 )
+
+
+TARGETS = f"""targets AS (SELECT acronym, ld_id AS target_id FROM concepts WHERE acronym = 'FLAT' OR contains(ld_id, '/GEO/nation#') OR contains(ld_id, '/PART/brand#')
+    UNION ALL SELECT 'NEW', concat('{BASE}/provisional_classes/C', n_nationkey * 10 + 6) FROM nation)"""
+
+
+@query()
+def h5_class_trees(spark, sf_dir):
+    """The trees of all nations and brands, and of some classes of an ontology of provisional classes; flat ones have none."""
+    concepts, edges, provisional, ontologies = views(spark, sf_dir, *BASES, "ontologies")
+    key = F.col("ld_id")
+    own = concepts.where((F.col("acronym") == "FLAT") | key.contains("/GEO/nation#") | key.contains("/PART/brand#")).select("acronym", key.alias("target_id"))
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    new = nation.select(F.lit("NEW").alias("acronym"), F.concat(F.lit(f"{BASE}/provisional_classes/C"), F.col("n_nationkey") * 10 + 6).alias("target_id"))
+    return hierarchy.class_trees(own.unionByName(new), terms.union_terms(concepts, provisional, edges, READ), edges, ontologies)
+
+
+_TREE = """above AS (SELECT t.acronym, target_id, root_id FROM targets t JOIN closure c ON c.acronym = t.acronym AND c.node_id = target_id),
+  nodes AS (SELECT t.acronym, target_id, CAST(NULL AS VARCHAR) AS parent_id, r.ld_id AS node_id FROM targets t JOIN tops r ON r.acronym = t.acronym
+    UNION ALL SELECT a.acronym, target_id, e.parent_id, e.child_id FROM above a JOIN {edges} e ON e.acronym = a.acronym AND e.parent_id = a.root_id),
+  placed AS (SELECT n.*, n.node_id = n.target_id OR EXISTS (SELECT 1 FROM above a WHERE a.acronym = n.acronym AND a.target_id = n.target_id AND a.root_id = n.node_id) AS on_path,
+    EXISTS (SELECT 1 FROM {edges} e WHERE e.acronym = n.acronym AND e.parent_id = n.node_id) AS has_children FROM nodes n)"""
+ORACLES["h5_class_trees"] = recursive(
+    f""", {TERMS.removeprefix('WITH ')}, {TARGETS}, tops AS (SELECT c.acronym, c.ld_id FROM concepts c JOIN ontologies o ON o.acronym = c.acronym AND NOT is_flat WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.acronym = c.acronym AND e.child_id = c.ld_id)),
+  {_TREE.format(edges='edges')}
+  SELECT target_id, parent_id, node_id, pref_label, on_path, has_children FROM placed p LEFT JOIN concepts c ON c.acronym = p.acronym AND c.ld_id = node_id
+  UNION ALL SELECT target_id, NULL, ld_id, pref_label, false, false FROM targets t JOIN terms x ON x.acronym = 'NEW' AND t.acronym = 'NEW' AND entity = 'class'""",
+    *BASES, "ontologies",
+)
+
+
+@query()
+def h6_property_trees(spark, sf_dir):
+    """H6: the tree of every property."""
+    found, edges = views(spark, sf_dir, "properties", "property_edges")
+    tops = edges.select("acronym", F.col("parent_id").alias("ld_id")).distinct().join(edges.select("acronym", F.col("child_id").alias("ld_id")), ["acronym", "ld_id"], "left_anti")
+    tree = hierarchy.tree_to(found.select("acronym", F.col("ld_id").alias("target_id")), tops, edges)
+    return hierarchy.with_children(tree, edges).drop("acronym")
+
+
+ORACLES["h6_property_trees"] = recursive(
+    f""", targets AS (SELECT acronym, ld_id AS target_id FROM properties), tops AS (SELECT DISTINCT acronym, parent_id AS ld_id FROM property_edges p WHERE NOT EXISTS (SELECT 1 FROM property_edges q WHERE q.acronym = p.acronym AND q.child_id = p.parent_id)),
+  {_TREE.format(edges='property_edges')} SELECT target_id, parent_id, node_id, on_path, has_children FROM placed""",
+    "properties", "property_edges",
+).replace("FROM edges", "FROM property_edges").replace("JOIN edges", "JOIN property_edges")
