@@ -185,7 +185,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     met = cut(seeds.join(bounded(again, F.lit(32)), "anchor").withColumn("spot", F.xxhash64(*KEY, "first")))
     alike = met.groupBy("anchor", "block").agg(F.count("*").alias("alike"), F.min("spot").alias("one"))
     flags = met.join(alike, ["anchor", "block"]).groupBy(*KEY).agg(
-        F.collect_list(F.when(F.col("alike") > 1, F.struct("first", "windows"))).alias("blocks"),
+        F.collect_set(F.when(F.col("alike") > 1, F.struct("first", "windows"))).alias("blocks"),  # a set: repeated rows have one key
         F.collect_set(F.when(F.col("edge") & (F.col("spot") == F.col("one")), F.struct("first", "windows", (F.col("alike") == 1).alias("open")))).alias("probes"),
     )
     flags = cut(flags)
