@@ -196,7 +196,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, candidates: int =
     """
     spark = vectors.sparkSession
     rows = cut(clean(vectors))
-    ranked = rows.withColumn("n", F.row_number().over(W.partitionBy("x").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    ranked = rows.distinct().withColumn("n", F.row_number().over(W.partitionBy("x").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     distinct = cut(ranked.groupBy("x").agg(F.min("vec_id").alias("low"), F.sort_array(F.collect_list("vec_id")).alias("vec_ids")).withColumn("gid", F.xxhash64("x")))
     queries = cut(rows.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x")))
     sample = distinct.orderBy("gid").limit(FIT_ROWS).select("x").toPandas()
