@@ -154,8 +154,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without letters and the ambiguous ones go."""
-    shared = spark.sparkContext.broadcast(fit(docs))
+    """Documents whose language can be told; those without letters and the ambiguous ones go. Without any labelled document there
+    is no language to tell, and all stay."""
+    model = fit(docs)
+    if not model.langs:
+        return docs
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text"):
