@@ -1,13 +1,18 @@
 """License scans, source divergences and whitening against plain versions, on odd rows and on whole small tables."""
 
 import collections
+import hashlib
 import re
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
-from termspark.llm import divergence, licenses, whitening
+from termspark.llm import ann, bpe, divergence, langid, licenses, queries, secrets, substrings, whitening
 
 SF = "/root/testdata/sf0.001"
 GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
@@ -167,3 +172,74 @@ def test_empty_documents(spark):
     none = _docs(spark, LICENSED).where(F.lit(False))
     assert licenses.scan_licenses(none).count() == 0
     assert divergence.divergences(none).count() == 0
+
+
+def test_substrings_of_many_copies_without_id(spark):
+    """Copies of one row have one key; each is removed whole, in time that follows their number."""
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(None, text)] * 3000 + [(i, text) for i in range(5)] + [(9, text + " tail"), (10, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substrings.substring_dedup(docs, 35).groupBy("doc_id", "n_words", "kept").count().collect()
+    want = [(None, 300, "", 3000), *[(i, 300, "", 1) for i in range(5)], (9, 301, "tail", 1), (10, 1, "short", 1)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_neighbours_among_repeated_rows(spark):
+    """Repeated rows of one vec_id hide no other row with their vector."""
+    rows = [(0, [1.0, 0.0])] + [(5, [1.0, 0.1])] * 30 + [(7, [1.0, 0.1]), (8, [1.0, 0.1]), (9, [0.0, 3.0]), (9, [0.0, 3.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 5), (0, 7), (0, 8), (0, 9)]
+
+
+@pytest.mark.parametrize("rows,dim", [(1000, 16), (5000, 64)])
+def test_neighbours_recall(spark, rows, dim):
+    rng = np.random.default_rng(rows)
+    x = rng.normal(size=(rows, dim)).astype(np.float32)
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).toPandas()
+    hits = 0
+    for q in range(0, rows, 100):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
+    assert hits >= 0.95 * rows / 10
+
+
+def test_secrets_of_one_text_with_many_matches(spark):
+    text = " ".join(f"token=abcdef{i:05d} deadbeefdeadbeefdeadbeef{i % 7}" for i in range(50_000))
+    row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("base").alias("n"), F.col("base")[0].alias("first"), F.element_at("base", -1).alias("last")).first()
+    assert row.n == 100_000 and tuple(row.first) == (0, 17, 0) and row.last.end == len(text)
+
+
+def test_language_stage_without_labels(spark):
+    docs = _docs(spark, [(1, "a clean text", None, "a"), (2, "another one", None, "b"), (3, None, None, None)])
+    assert langid.stage(spark, docs, SF).count() == 3
+
+
+@pytest.mark.parametrize("name,columns", [("op1_simhash", {"fingerprint"}), ("op5_media", {"payload_sha256", "tail_crc32"}), ("op6_secrets", {"base_sha256", "n_hex"}), ("op7_bpe", {"ids_sha256"})])
+def test_registered_queries_against_plain_python(spark, name, columns):
+    """What the registered queries add to their operators: hex forms, counts, digests."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in queries.QUERIES[name](spark, SF).collect()}
+    assert set(got) == set(texts) and all(columns <= set(r.asDict()) for r in got.values())
+    theirs = None
+    if name == "op7_bpe":
+        tokens = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
+        theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    for d, text in texts.items():
+        r, data = got[d], text.encode()
+        if name == "op1_simhash":
+            w = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in data))
+            shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+            bits = collections.Counter(j for s in shingles for h in [xxhash.xxh64_intdigest(s, 42)] for j in range(64) if h >> j & 1)
+            assert r.fingerprint == f"{sum(1 << j for j, n in bits.items() if 2 * n > len(shingles)):016x}"
+        elif name == "op5_media":
+            padded = data + b"\0" * (-len(data) % 64 or (0 if data else 64))
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        elif name == "op6_secrets":
+            spans = [(m.start(), 0, m.end()) for m in re.finditer(r"(?i:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+))", text, re.A) if len(m[2]) >= 6]
+            spans += [(m.start(), k, m.end()) for k, p, n in ((1, r"AKIA[A-Z0-9]+", 20), (2, r"[0-9a-f]+", 24)) for m in re.finditer(p, text) if len(m[0]) >= n]
+            told = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+            assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest() and [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in spans) for i in range(3)]
+        else:
+            ids = theirs.encode_ordinary(text)
+            assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(data).hexdigest())
