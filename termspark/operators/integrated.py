@@ -57,7 +57,7 @@ def picked(asked: DataFrame, sources: DataFrame) -> DataFrame:
     own = sources.where(F.col("source_type") == CLASSES).select("request_id", "source_idx", F.col("uri").alias("ld_id"), F.col("label").alias("pref_label"))
     text = F.col("input_text")
     held = own.join(asked, "request_id").where(text.isNull() | F.contains(F.lower("pref_label"), F.lower(text)))
-    near = F.coalesce(F.levenshtein(F.lower("pref_label"), F.lower(text)), F.lit(0))
+    near = F.coalesce(closest(F.col("pref_label"), text)[1], F.lit(0))
     label = F.when(text.isNull(), F.lower("pref_label")).asc_nulls_last()
     own_rows = W.partitionBy("request_id")
     placed = ranked(held, [near, label, F.col("source_idx")], "nth").withColumn("total", F.count("*").over(own_rows))

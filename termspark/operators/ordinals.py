@@ -56,16 +56,17 @@ def ordinals(rows: DataFrame, keys: list[str]) -> Ordinals:
     return Ordinals(kept, totals)
 
 
-def source_list(terms: DataFrame, below: DataFrame, types: tuple[int, int, int]) -> DataFrame:
-    """SOURCE, ld_id, pref_label, ord, is_provisional of the classes of every ontology, of what is below each class, and of the
-    values of each value set.
+def source_list(terms: DataFrame, below: DataFrame, types: tuple[int, int, int, int]) -> DataFrame:
+    """SOURCE, ld_id, pref_label, ord, is_provisional of the classes of every ontology, of what is below each class, of the values
+    of each value set, and of the value sets of each collection.
 
     terms: acronym, ld_id, pref_label, ord, is_provisional, entity; below: acronym, root_id, node_id. types: the numbers of
-    ontologies, branches and value sets.
+    ontologies, branches, value sets and collections.
     """
-    ontologies, branches, sets = types
+    ontologies, branches, sets, collections = types
     row = ["ld_id", "pref_label", "ord", "is_provisional"]
-    own = terms.where("entity = 'class'").select(F.lit(ontologies).alias("source_type"), "acronym", F.lit("").alias("uri"), *row)
+    kind = F.when(F.col("entity") == "class", ontologies).otherwise(collections)
+    own = terms.where("entity <> 'value'").select(kind.alias("source_type"), "acronym", F.lit("").alias("uri"), *row)
     named = below.select("acronym", F.col("root_id").alias("uri"), F.col("node_id").alias("ld_id")).join(terms, ["acronym", "ld_id"])
     return own.unionByName(named.select(F.when(F.col("entity") == "class", branches).otherwise(sets).alias("source_type"), "acronym", "uri", *row))
 
@@ -110,10 +111,10 @@ def retrieve_pages(requests: DataFrame, sources: DataFrame, stored: Ordinals) ->
     return shown.unionByName(ones.select("request_id", at, "source_type", F.col("uri").alias("ld_id"), F.col("label").alias("pref_label")))
 
 
-def class_pages(requests: DataFrame, stored: Ordinals, ontologies: int) -> DataFrame:
-    """L13 with the page that each request (request_id, acronym, page, page_size) asks for: request_id, pos, ld_id, pref_label,
-    total; a page past the end has no rows."""
-    asked = requests.withColumns({"source_type": F.lit(ontologies), "uri": F.lit("")}).join(stored.totals, SOURCE)
+def source_pages(requests: DataFrame, stored: Ordinals) -> DataFrame:
+    """L9, L11, L13 with the page that each request (request_id, SOURCE, page, page_size) asks for: request_id, pos, ld_id,
+    pref_label, total; a page past the end has no rows."""
+    asked = requests.join(stored.totals, SOURCE)
     first = ((F.col("page") - 1) * F.col("page_size")).cast("long")
     wanted = asked.withColumns({"first": first, "last": F.least(first + F.col("page_size"), F.col("total")) - 1, "begin": first})
     return fetched(wanted, stored).select("request_id", (F.col("nth") - F.col("begin") + 1).cast("int").alias("pos"), "ld_id", "pref_label", "total")

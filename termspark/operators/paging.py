@@ -17,9 +17,13 @@ def with_defaults(requests: DataFrame) -> DataFrame:
 
 
 def closest(label: Column, query: Column) -> list[Column]:
-    """Sort keys: labels that contain the query first, then by edit distance; both without regard to case."""
+    """Labels that contain the query first, then by edit distance; both without regard to case.
+
+    The distance to a label that contains the query is the difference of their lengths, so it is computed for the others only.
+    """
     low, q = F.lower(label), F.lower(query)
-    return [(~F.contains(low, q)).cast("int"), F.levenshtein(low, q)]
+    near = F.when(F.contains(low, q), F.length(low) - F.length(q)).otherwise(F.levenshtein(low, q))
+    return [(~F.contains(low, q)).cast("int"), near]
 
 
 def ranked(rows: DataFrame, keys: list[Column], name: str = "pos", by: str = "request_id") -> DataFrame:
@@ -69,7 +73,11 @@ def first_pages(hits: DataFrame, requests: DataFrame, keys: list[Column]) -> Dat
 
     hits has request_id, page, page_size, and should be written, as it is read twice: totals are counts, which combine before
     they are shuffled, and rows are ranked behind a limit, the last row that any page shows, which every task applies first.
+    Keys that begin with those of `closest` are evaluated for hits that contain the query; for the others only where those do
+    not fill the pages.
     """
     most = requests.agg(F.max(F.col("page") * F.col("page_size"))).first()[0] or 0
-    totals = hits.groupBy("request_id").agg(F.count("*").alias("total"))
-    return page_of(ranked(hits, keys).where(F.col("pos") <= most).join(totals, "request_id"))
+    far = keys[0] != 0
+    totals = hits.groupBy("request_id").agg(F.count("*").alias("total"), F.count(F.when(keys[0] == 0, F.lit(1))).alias("_inside"))
+    sized = hits.join(totals, "request_id").where((F.col("_inside") < most) | ~F.coalesce(far, F.lit(True))).drop("_inside")
+    return page_of(ranked(sized, keys).where(F.col("pos") <= most))

@@ -10,7 +10,7 @@ from termspark.operators.index import TermIndex, matches
 from termspark.operators.paging import closest, first_pages, page_of, ranked, with_defaults
 from termspark.sources import cut
 
-CLASSES, ONTOLOGIES, BRANCHES, VALUE_SETS = range(4)
+CLASSES, ONTOLOGIES, BRANCHES, VALUE_SETS, COLLECTIONS = range(5)
 
 
 def texts_of(requests: DataFrame, text: str, ahead: Column | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from termspark.functions import is_provisional_id, is_url, short_id, uri_key
 from termspark.operators.index import TERM, TermIndex, matches
 from termspark.operators.paging import closest, first_pages, page_of, ranked
 from termspark.operators.search import texts_of
+from termspark.operators.validate import creations
 from termspark.sources import cut
 
 #: The names of the kinds of terms in records.
@@ -99,11 +100,16 @@ def enumerated_results(classes: DataFrame, type_base: str, source_base: str) ->
     return classes.select("request_id", short_id(F.col("c.uri")).alias("short_id"), F.col("c.uri").alias("ld_id"), based(F.col("c.type"), type_base).alias("ld_type"), F.col("c.type").alias("type"), F.col("c.prefLabel").alias("pref_label"), based(F.col("c.source"), source_base).alias("source"))
 
 
-def write_records(classes: DataFrame, relations: DataFrame) -> DataFrame:
-    """A record per created class with its relations; a relation without a creator takes that of its class."""
+RELATION = "array<struct<relation_type:string,target_class_id:string,creator:string>>"
+
+
+def write_records(made: DataFrame, relations: DataFrame) -> DataFrame:
+    """A record per created class, value set or value (entity, ld_id, creator, ...) with its relations. A relation without a
+    creator takes that of its class; relations of value sets and values stay as they are."""
     own = relations.groupBy(F.col("source_class_id").alias("ld_id")).agg(F.array_sort(F.collect_list(F.struct("relation_type", "target_class_id", "creator"))).alias("relations"))
-    filled = F.transform("relations", lambda r: F.struct(r["relation_type"], r["target_class_id"], F.coalesce(r["creator"], F.col("creator")).alias("creator")))
-    return classes.join(own, "ld_id", "left").withColumn("relations", F.coalesce(filled, F.array().cast("array<struct<relation_type:string,target_class_id:string,creator:string>>")))
+    creator = lambda r: F.when(F.col("entity") == "class", F.coalesce(r["creator"], F.col("creator"))).otherwise(r["creator"])
+    filled = F.transform("relations", lambda r: F.struct(r["relation_type"], r["target_class_id"], creator(r).alias("creator")))
+    return made.join(own, "ld_id", "left").withColumn("relations", F.coalesce(filled, F.array().cast(RELATION)))
 
 
 def matched_synonyms(label: Column, synonyms: Column, query: Column) -> Column:
@@ -142,7 +148,8 @@ def bulk_search(requests: DataFrame, index: TermIndex, closure: DataFrame) -> Da
     inside = closure.select("acronym", F.col("root_id").alias("subtree_root"), F.col("node_id").alias("ld_id"), "depth")
     kept = found.where(scoped(F.col("entity"), F.col("scope"))).join(inside, ["acronym", "subtree_root", "ld_id"], "left")
     kept = cut(kept.where("subtree_root IS NULL OR (depth IS NOT NULL AND (max_depth = 0 OR depth <= max_depth))").drop("properties", "sources"))
-    keys = [*[c.asc_nulls_last() for c in closest(F.col("pref_label"), F.col("text"))], F.col("acronym"), F.col("ord"), F.col("ld_id")]
+    outside, near = closest(F.col("pref_label"), F.col("text"))
+    keys = [F.coalesce(outside, F.lit(2)), near.asc_nulls_last(), F.col("acronym"), F.col("ord"), F.col("ld_id")]
     shown = first_pages(kept, requests, keys).where("pref_label IS NOT NULL")
     synonyms = F.when(F.col("match_type") == "synonym", matched_synonyms(F.coalesce("pref_label", F.lit("")), F.col("synonyms"), F.col("q"))).otherwise(F.array().cast("array<string>"))
     return shown.select("request_id", "pos", "ld_id", type_name(F.col("entity")).alias("type"), "pref_label", "match_type", synonyms.alias("matched_synonyms"), "is_provisional", "total")
@@ -180,8 +187,35 @@ def source_counts(sources: DataFrame) -> DataFrame:
 
 
 def create(feed: DataFrame, base: str) -> DataFrame:
-    """M1: created terms (seq, ts, acronym, label, parent) with their id, short id, creation time and path."""
-    return feed.select(F.concat(F.lit(f"{base}/provisional_classes/"), F.col("seq")).alias("ld_id"), F.col("seq").cast("string").alias("short_id"), F.col("ts").alias("created"), "acronym", F.col("label").alias("pref_label"), F.concat_ws("/", F.lit("ontologies"), "acronym", F.lit("classes"), F.col("seq")).alias("path"))
+    """M1: created terms (seq, ts, acronym, label) with their id, short id, creation time and path."""
+    path = F.concat_ws("/", F.lit("ontologies"), "acronym", F.lit("classes"), F.col("seq"))
+    return feed.select(F.concat(F.lit(f"{base}/provisional_classes/"), F.col("seq")).alias("ld_id"), F.col("seq").cast("string").alias("short_id"), F.col("ts").alias("created"), "acronym", F.col("label").alias("pref_label"), path.alias("path"))
+
+
+def create_all(feed: DataFrame, base: str, writable: list[str]) -> DataFrame:
+    """M1, V4: entity, ld_id, created, path, rejected of creations (entity, seq, ts, collection, vs_id, source_class_id).
+
+    Classes and relations go where they say; value sets and values only into a collection that can be written, and a value needs
+    its set. A rejected creation has no id and no path.
+    """
+    checked = creations(feed.withColumn("op", F.lit("create")), writable, base)
+    seq, good = F.col("seq").cast("string"), F.col("rejected").isNull()
+    collection = short_id(F.col("collection"))
+    root = F.when(F.col("entity") == "relation", "provisional_relations").otherwise("provisional_classes")
+    path = F.when(F.col("entity") == "class", F.concat_ws("/", F.lit("ontologies"), collection, F.lit("classes"), seq)).when(F.col("entity") == "relation", F.concat_ws("/", F.lit("relations"), seq))
+    path = path.when(F.col("entity") == "value_set", F.concat_ws("/", F.lit("vs-collections"), collection, F.lit("value-sets"), seq))
+    path = path.otherwise(F.concat_ws("/", F.lit("vs-collections"), collection, F.lit("value-sets"), short_id(F.col("vs_id")), F.lit("values"), seq))
+    return checked.select("entity", "seq", F.when(good, F.concat_ws("/", F.lit(base), root, seq)).alias("ld_id"), F.when(good, F.col("ts")).alias("created"), F.when(good, path).alias("path"), "rejected")
+
+
+def set_nodes(sets: DataFrame, terms: DataFrame, below: DataFrame) -> DataFrame:
+    """Sets (acronym, set_id) to set_id, node_id, pref_label, type, has_children: the set, then its values, which are
+    leaves. below: acronym, root_id, node_id."""
+    known = terms.where("entity <> 'class'").select("acronym", F.col("ld_id").alias("node_id"), "pref_label", type_name(F.col("entity")).alias("type"))
+    values = sets.join(below.withColumnRenamed("root_id", "set_id"), ["acronym", "set_id"]).select("acronym", "set_id", "node_id", F.lit(False).alias("has_children"))
+    held = values.select("acronym", "set_id", F.lit(True).alias("has")).distinct()
+    own = sets.join(held, ["acronym", "set_id"], "left").select("acronym", "set_id", F.col("set_id").alias("node_id"), F.coalesce("has", F.lit(False)).alias("has_children"))
+    return own.unionByName(values).join(known, ["acronym", "node_id"]).select("set_id", "node_id", "pref_label", "type", "has_children")
 
 
 def drop_relations(relations: DataFrame, deleted: DataFrame) -> DataFrame:

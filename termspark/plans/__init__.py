@@ -300,4 +300,4 @@ def s8_catalog_dedupe(spark, sf_dir):
     return feed.groupBy("term_key").agg(F.min_by("op", order).alias("first_op"), F.max_by("op", order).alias("last_op"), F.min("ts").alias("first_at"), F.count("*").alias("versions"))
 
 
-from termspark.plans import records, terms, whole  # noqa: E402, F401
+from termspark.plans import details, records, terms, whole  # noqa: E402, F401

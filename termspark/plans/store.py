@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from termspark.functions import uri_key
 from termspark.operators import hierarchy, index, ordinals, terms
 from termspark.operators.integrated import Store
-from termspark.operators.search import BRANCHES, ONTOLOGIES, VALUE_SETS
+from termspark.operators.search import BRANCHES, COLLECTIONS, ONTOLOGIES, VALUE_SETS
 from termspark.sources import TABLES, cut, views
 
 READ = ["VSA", "VSN", "VSW"]
@@ -69,11 +69,11 @@ def below(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_rows(spark: SparkSession, sf_dir: str) -> ordinals.Ordinals:
-    """The numbers of the classes of ontologies, of what is below branches, and of the values of sets."""
+    """The numbers of the classes of ontologies, of what is below branches, of the values of sets and the sets of collections."""
 
     def make() -> ordinals.Ordinals:
         every = term_index(spark, sf_dir).terms().select("acronym", "ld_id", "pref_label", "ord", "is_provisional", "entity")
-        rows = ordinals.source_list(every, below(spark, sf_dir), (ONTOLOGIES, BRANCHES, VALUE_SETS))
+        rows = ordinals.source_list(every, below(spark, sf_dir), (ONTOLOGIES, BRANCHES, VALUE_SETS, COLLECTIONS))
         return ordinals.ordinals(rows, ["is_provisional", "ord", "ld_id"])
 
     return kept(spark, sf_dir, "ordinals", make)

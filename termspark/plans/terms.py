@@ -198,7 +198,7 @@ def n26_write_records(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     named = classes.select("ld_id", F.col("ord").alias("l_orderkey")).join(lines, "l_orderkey")
     relations = named.select(F.col("ld_id").alias("source_class_id"), F.lit("suppliedBy").alias("relation_type"), F.concat(F.lit(f"{BASE}/FLAT/S"), "l_suppkey").alias("target_class_id"), F.when(F.col("l_linenumber") % 2 == 0, "someone").alias("creator"))
-    made = terms.write_records(classes.select("ld_id", "creator"), relations)
+    made = terms.write_records(classes.select("ld_id", "entity", "creator"), relations)
     return made.select("ld_id", "creator", F.explode("relations").alias("r")).select("ld_id", "creator", "r.target_class_id", F.col("r.creator").alias("relation_creator"))
 
 

@@ -112,8 +112,9 @@ def l13_class_pages(spark, sf_dir):
     k = F.col("p_partkey")
     acronym = F.when(k % 4 == 0, "GEO").when(k % 4 == 1, "PART").when(k % 4 == 2, "NEW").otherwise("FLAT")
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    asked = part.select(k.alias("request_id"), acronym.alias("acronym"), (1 + F.floor(k / 7)).alias("page"), (2 + k % 9).alias("page_size"))
-    return ordinals.class_pages(asked, source_rows(spark, sf_dir), ONTOLOGIES)
+    source = [F.lit(ONTOLOGIES).alias("source_type"), acronym.alias("acronym"), F.lit("").alias("uri")]
+    asked = part.select(k.alias("request_id"), *source, (1 + F.floor(k / 7)).alias("page"), (2 + k % 9).alias("page_size"))
+    return ordinals.source_pages(asked, source_rows(spark, sf_dir))
 
 
 ASKED = """asked AS (SELECT p_partkey AS request_id, CASE p_partkey % 4 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN concat('user', p_size) WHEN 2 THEN concat('BRAND#', p_size) ELSE concat('alias ', p_size) END AS q,

@@ -83,19 +83,19 @@ def details(spark: SparkSession, metrics: str, categories: str, submissions: str
 def flatten_trees(docs: DataFrame) -> DataFrame:
     """docs (doc_id, body) to doc_id, parent_id, node_id, depth: each round opens the children of all documents at once.
 
-    As many rounds as the deepest document has levels; each is written out, so a level is parsed once.
+    As many rounds as the deepest document has levels; each is written out as variants, so text is parsed once.
     """
     level = docs.select("doc_id", F.lit(None).cast("string").alias("parent_id"), F.parse_json("body").alias("node"))
     depth, found = 0, None
     while True:
-        rows = level.select("doc_id", "parent_id", F.try_variant_get("node", "$['@id']", "string").alias("node_id"), F.lit(depth).alias("depth"), F.try_variant_get("node", "$.children", "array<variant>").alias("below"))
-        rows = cut(rows.select("doc_id", "parent_id", "node_id", "depth", F.transform("below", lambda v: F.to_json(v)).alias("below")))
+        below = F.try_variant_get("node", "$.children", "array<variant>").alias("below")
+        rows = cut(level.select("doc_id", "parent_id", F.try_variant_get("node", "$['@id']", "string").alias("node_id"), F.lit(depth).alias("depth"), below))
         here = rows.drop("below")
         found = here if found is None else found.unionByName(here)
         opened = rows.where(F.size("below") > 0)
         if opened.isEmpty():
             return found
-        level = opened.select("doc_id", F.col("node_id").alias("parent_id"), F.explode("below").alias("text")).select("doc_id", "parent_id", F.parse_json("text").alias("node"))
+        level = opened.select("doc_id", F.col("node_id").alias("parent_id"), F.explode("below").alias("node"))
         depth += 1
 
 
