@@ -68,6 +68,18 @@ def page_within(rows: DataFrame, by: list[str], keys: list[str], page: int, size
     return first.where((F.col("pos") > start) & (F.col("pos") <= start + size)).withColumn("pos", (F.col("pos") - start).cast("int"))
 
 
+def last_shown(requests: DataFrame) -> int:
+    """The last row that any request's page shows, a limit for ranking."""
+    return requests.agg(F.max(F.col("page") * F.col("page_size"))).first()[0] or 0
+
+
+def limited(hits: DataFrame, requests: DataFrame, keys: list[Column]) -> DataFrame:
+    """hits with pos and total, those behind the last row that any page shows left out: every task drops them before the
+    shuffle, and totals are counts of their own, which combine before theirs."""
+    totals = hits.groupBy("request_id").agg(F.count("*").alias("total"))
+    return ranked(hits, keys).where(F.col("pos") <= last_shown(requests)).join(totals, "request_id")
+
+
 def first_pages(hits: DataFrame, requests: DataFrame, keys: list[Column]) -> DataFrame:
     """hits with pos and total: each request's page (page, page_size) of its hits in the order of the keys.
 
@@ -76,8 +88,7 @@ def first_pages(hits: DataFrame, requests: DataFrame, keys: list[Column]) -> Dat
     Keys that begin with those of `closest` are evaluated for hits that contain the query; for the others only where those do
     not fill the pages.
     """
-    most = requests.agg(F.max(F.col("page") * F.col("page_size"))).first()[0] or 0
-    far = keys[0] != 0
+    most, far = last_shown(requests), keys[0] != 0
     totals = hits.groupBy("request_id").agg(F.count("*").alias("total"), F.count(F.when(keys[0] == 0, F.lit(1))).alias("_inside"))
     sized = hits.join(totals, "request_id").where((F.col("_inside") < most) | ~F.coalesce(far, F.lit(True))).drop("_inside")
     return page_of(ranked(sized, keys).where(F.col("pos") <= most))

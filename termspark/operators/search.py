@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termspark.operators.index import TermIndex, matches
-from termspark.operators.paging import closest, first_pages, page_of, ranked, with_defaults
+from termspark.operators.paging import closest, first_pages, limited, page_of, ranked, with_defaults
 from termspark.sources import cut
 
 CLASSES, ONTOLOGIES, BRANCHES, VALUE_SETS, COLLECTIONS = range(5)
@@ -61,14 +61,16 @@ def integrated_search(requests: DataFrame, rows: DataFrame, sort_scope: str = "g
     the first page_size rows of each source, as they come; 'global' ranks all. Several sources always give page 1.
     """
     asked = with_defaults(requests)
-    found = rows.join(asked, "request_id").where("input_text IS NULL OR contains(lower(pref_label), lower(input_text))")
+    found = cut(rows.join(asked, "request_id").where("input_text IS NULL OR contains(lower(pref_label), lower(input_text))"))
+    totals = found.groupBy("request_id").agg(F.count("*").alias("total"))
+    most = asked.agg(F.max("page_size")).first()[0] or 0
     if sort_scope == "page":
-        found = found.withColumn("nth", F.row_number().over(W.partitionBy("request_id", "source_type", "source_idx").orderBy("ord", "ld_id"))).withColumn("total", F.count("*").over(W.partitionBy("request_id"))).where("nth <= page_size")
-    else:
-        found = found.withColumn("total", F.count("*").over(W.partitionBy("request_id")))
-    near = F.coalesce(F.levenshtein(F.lower("pref_label"), F.lower("input_text")), F.lit(0))
-    placed = ranked(found, [near, F.when(F.col("input_text").isNull(), F.lower("pref_label")).asc_nulls_last(), F.col("source_type"), F.col("source_idx"), F.col("ord"), F.col("ld_id")])
-    return placed.where("pos <= page_size").select("request_id", "pos", "source_type", "ld_id", "pref_label", "total")
+        nth = F.row_number().over(W.partitionBy("request_id", "source_type", "source_idx").orderBy("ord", "ld_id"))
+        found = found.withColumn("nth", nth).where(F.col("nth") <= most).where("nth <= page_size")
+    near = F.when(F.col("input_text").isNull(), 0).otherwise(closest(F.col("pref_label"), F.col("input_text"))[1])
+    by_label = F.when(F.col("input_text").isNull(), F.lower("pref_label")).asc_nulls_last()
+    placed = ranked(found, [near, by_label, F.col("source_type"), F.col("source_idx"), F.col("ord"), F.col("ld_id")]).where(F.col("pos") <= most)
+    return placed.where("pos <= page_size").join(totals, "request_id").select("request_id", "pos", "source_type", "ld_id", "pref_label", "total")
 
 
 def single_source(requests: DataFrame, rows: DataFrame) -> DataFrame:
@@ -79,12 +81,11 @@ def single_source(requests: DataFrame, rows: DataFrame) -> DataFrame:
     ontology or a branch without text always gives page 1.
     """
     asked = with_defaults(requests)
-    found = rows.join(asked, "request_id").where("input_text IS NULL OR contains(lower(pref_label), lower(input_text))")
-    found = found.withColumn("total", F.count("*").over(W.partitionBy("request_id")))
+    found = cut(rows.join(asked, "request_id").where("input_text IS NULL OR contains(lower(pref_label), lower(input_text))"))
     blank, kind = F.col("input_text").isNull(), F.col("source_type")
-    near = F.coalesce(F.levenshtein(F.lower("pref_label"), F.lower("input_text")), F.lit(0))
+    near = F.when(blank, 0).otherwise(closest(F.col("pref_label"), F.col("input_text"))[1])
     by_label = F.when(blank & (kind == CLASSES), F.lower("pref_label"))
-    placed = ranked(found, [near, by_label.asc_nulls_last(), F.col("ord"), F.col("ld_id")])
+    placed = limited(found, asked, [near, by_label.asc_nulls_last(), F.col("ord"), F.col("ld_id")])
     page = F.when(blank & kind.isin(ONTOLOGIES, BRANCHES) | ((F.col("page") - 1) * F.col("page_size") >= F.col("total")), 1).otherwise(F.col("page"))
     shown = page_of(placed.withColumn("page", page))
     inside = ranked(shown.where(blank & (kind != CLASSES)), [F.lower("pref_label"), F.col("pos")], "place").drop("pos").withColumnRenamed("place", "pos")
@@ -96,8 +97,8 @@ def single_source(requests: DataFrame, rows: DataFrame) -> DataFrame:
 
 def integrated_retrieve(requests: DataFrame, rows: DataFrame) -> DataFrame:
     """request_id, pos, source_type, ld_id, pref_label: the sources end to end, unsorted, with true paging."""
-    both = rows.join(with_defaults(requests), "request_id").withColumn("total", F.count("*").over(W.partitionBy("request_id")))
-    placed = ranked(both, [F.col(c) for c in ("source_type", "source_idx", "ord", "ld_id")])
+    asked = with_defaults(requests)
+    placed = limited(rows.join(asked, "request_id"), asked, [F.col(c) for c in ("source_type", "source_idx", "ord", "ld_id")])
     return page_of(placed).select("request_id", "pos", "source_type", "ld_id", "pref_label")
 
 

@@ -7,12 +7,11 @@ terms), and what the records need: creator, definition, notation.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termspark.functions import is_provisional_id, is_url, short_id, uri_key
 from termspark.operators.index import TERM, TermIndex, matches
-from termspark.operators.paging import closest, first_pages, page_of, ranked
+from termspark.operators.paging import closest, first_pages, limited, page_of
 from termspark.operators.search import texts_of
 from termspark.operators.validate import creations
 from termspark.sources import cut
@@ -163,7 +162,7 @@ def search_in_sets(requests: DataFrame, terms: DataFrame, edges: DataFrame) -> D
     known = resolve_sets(requests, terms).where("origin <> 'not_found'").withColumn("parent_key", uri_key(F.col("set_id"))).drop("pref_label")
     values = terms.where("entity = 'value'").select("acronym", F.col("ld_id").alias("child_id"), "pref_label")
     hits = known.join(edges.select("acronym", "parent_key", "child_id", "ord"), ["acronym", "parent_key"]).join(values, ["acronym", "child_id"]).where(F.contains(F.lower("pref_label"), F.lower("q")))
-    placed = ranked(hits, [*closest(F.col("pref_label"), F.col("q")), F.col("ord"), F.col("child_id")]).withColumn("total", F.count("*").over(W.partitionBy("request_id")))
+    placed = limited(hits, requests, [*closest(F.col("pref_label"), F.col("q")), F.col("ord"), F.col("child_id")])
     return page_of(placed).select("request_id", "pos", F.col("child_id").alias("ld_id"), "pref_label", "origin", "total")
 
 
