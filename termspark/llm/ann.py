@@ -6,8 +6,8 @@ inner products of queries that the vector answers. The smallest distance is the
 table entries for q.x, looked up by bytes of two codes, and the stored exact norms. The best candidates of each query are
 ranked again by their exact distance.
 
-Equal vectors are one candidate with its smallest ids, so copies cost nothing. Queries meet the rows in blocks: each block
-of queries is dealt to all buckets of coded rows by an equi-join.
+Equal vectors are one candidate with its smallest ids, so copies cost nothing. Queries meet the rows in blocks: codes are
+dealt to buckets once and stay there, and each block of queries is sent to all buckets, as queries are few and codes many.
 """
 
 from __future__ import annotations
@@ -145,8 +145,9 @@ def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
 def scan(pairs: DataFrame, model: Quantiser, candidates: int) -> DataFrame:
     """query_id, gid, guess: the candidates of each query in each bucket of rows, whatever number of blocks that has.
 
-    The blocks of one bucket come one after another, as the join before sorts by its keys; a running list of the best is kept
-    for each query, so that what is shuffled grows with queries times buckets.
+    A block of queries meets the blocks of a bucket one after another, as it is the left side of a merge join; a running list of
+    the best is kept for each query, so that what is shuffled grows with queries times buckets. In another order there would be
+    more candidates, and none lost.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(model)
 
@@ -207,8 +208,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, candidates: int =
     buckets = partitions(spark)
     coded = coded_blocks(distinct.repartition(buckets), model, buckets)
     asked = query_blocks(queries, blocks).select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    dealt = coded.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    guesses = scan(dealt.join(asked, ["block", "bucket"]), model, candidates)
+    guesses = scan(asked.join(coded.hint("merge"), "bucket"), model, candidates)
     best = guesses.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("guess"), "gid"))).where(F.col("n") <= candidates).select("query_id", "gid")
     exact = (
         best.join(distinct.select("gid", "x", "vec_ids"), "gid")
