@@ -8,8 +8,8 @@ from termspark.functions import acronym_of, short_id, short_type, uri_key
 from termspark.operators import ordinals, terms
 from termspark.operators.search import COLLECTIONS, VALUE_SETS
 from termspark.plans import SHORT, query
-from termspark.plans.store import READ, below, source_rows, term_index
-from termspark.plans.terms import BASES, KIND, TERMS, WRITE
+from termspark.plans.store import below, source_rows, term_index
+from termspark.plans.terms import BASES, TERMS, WRITE
 from termspark.sources import BASE, documents, shared_folder, views
 
 SETS = f"""asked AS (SELECT p_partkey AS request_id, CASE WHEN p_partkey % 3 = 0 THEN concat('{BASE}/VSN/', p_type) WHEN p_partkey % 3 = 1 THEN url_encode(concat('{BASE}/VSN/', p_type)) ELSE concat('{BASE}/provisional_classes/S', p_partkey * 10) END AS vs_id,
@@ -34,6 +34,25 @@ def l9_value_pages(spark, sf_dir):
     return ordinals.source_pages(asked.join(known, "key").drop("key"), stored)
 
 
+@query(
+    TERMS
+    + f""", {VALUES}, own AS (SELECT ld_id AS value_id, arg_min(set_id, ord) AS set_id FROM value GROUP BY ld_id),
+    asked AS (SELECT value_id, set_id, 1 + length(value_id) % 3 AS page, 3 AS page_size FROM own),
+    p AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY is_provisional, ord, ld_id) AS rn, count(*) OVER (PARTITION BY set_id) AS total FROM value)
+    SELECT value_id, a.set_id, CAST(rn - (page - 1) * page_size AS INT) AS pos, ld_id, total FROM asked a JOIN p ON p.set_id = a.set_id AND rn > (page - 1) * page_size AND rn <= page * page_size
+      WHERE a.set_id IN (SELECT ld_id FROM terms WHERE entity = 'value_set')""",
+    *BASES,
+)
+def l10_sibling_pages(spark, sf_dir):
+    """Every value, regular or provisional, asks for a page of the values of its set."""
+    stored = source_rows(spark, sf_dir)
+    own = below(spark, sf_dir).join(stored.totals.where(F.col("source_type") == VALUE_SETS).select("acronym", F.col("uri").alias("root_id")), ["acronym", "root_id"])
+    source = [F.lit(VALUE_SETS).alias("source_type"), "acronym", F.col("root_id").alias("uri")]
+    asked = own.select(F.col("node_id").alias("request_id"), *source, (1 + F.length("node_id") % 3).alias("page"), F.lit(3).alias("page_size"))
+    found = ordinals.source_pages(asked, stored).join(asked.select("request_id", "uri"), "request_id")
+    return found.select(F.col("request_id").alias("value_id"), F.col("uri").alias("set_id"), "pos", "ld_id", "total")
+
+
 @query(
     TERMS
     + """, asked AS (SELECT s_suppkey AS request_id, CASE s_suppkey % 4 WHEN 0 THEN 'VSN' WHEN 1 THEN 'VSA' WHEN 2 THEN 'VSW' ELSE 'GEO' END AS acronym, 1 + s_suppkey % 9 AS page, 2 + s_suppkey % 5 AS page_size FROM supplier),

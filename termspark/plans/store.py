@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +28,19 @@ def state_of(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted(found))
 
 
+def written(made) -> list[str]:
+    """The folders that the tables of a stored object are in."""
+    if isinstance(made, DataFrame):
+        return [made.written_to] if hasattr(made, "written_to") else []
+    return [path for field in fields(made) if getattr(made, field.name) is not None for path in written(getattr(made, field.name))]
+
+
 def kept(spark: SparkSession, sf_dir: str, name: str, make):
-    """What `make` returns, made once in a session for the tables' state."""
-    key = (spark.sparkContext.applicationId, name, state_of(spark, sf_dir))
-    if key not in _KEPT:
+    """What `make` returns, a table or a dataclass of tables; made once in a session for the tables' state, and again if its
+    folders are gone."""
+    key, hadoop = (spark.sparkContext.applicationId, name, state_of(spark, sf_dir)), spark._jvm.org.apache.hadoop.fs.Path
+    there = lambda path: hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop(path))
+    if key not in _KEPT or not all(map(there, written(_KEPT[key]))):
         _KEPT[key] = make()
     return _KEPT[key]
 

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from termspark.operators import hierarchy, index, integrated, ordinals, paging, terms
-from termspark.sources import cut
+from termspark.plans import store
+from termspark.sources import cut, discard
 from termspark.streaming import latest_state, stream_state
 
 WORDS = ["Red", "ring", "reddish", "É", "blood", "cell", "b", "x-ray", "Brand#1", "12"]
@@ -214,3 +215,16 @@ def test_an_index_without_terms(spark, empty):
     if not empty:
         now = index.changed(now, spark.createDataFrame([("A", "t", "class", "red", None, None, 0, True)], TERM), none.select("acronym", "ld_id"))
         assert {r[3] for r in _found(spark, now)} == {"t"}
+
+
+def test_what_is_kept_is_made_again_if_it_is_gone(spark):
+    sf_dir, made = "/root/testdata/sf0.001", []
+
+    def make():
+        made.append(index.build(spark.createDataFrame([_term(random.Random(1), 1)], TERM)))
+        return made[-1]
+
+    one = store.kept(spark, sf_dir, "test", make)
+    assert store.kept(spark, sf_dir, "test", make) is one and len(store.written(one)) == 3
+    discard(one.base.postings)
+    assert store.kept(spark, sf_dir, "test", make) is not one and len(made) == 2
