@@ -335,22 +335,24 @@ def test_lines_are_copies_in_all_pairs(spark, table):
     assert gone <= want and len(gone) >= 0.9 * len(want) and len(want) > 80
 
 
-@pytest.mark.parametrize(("width", "changed"), [(1, 0), (2, 0), (3, 0), (5, 0), (8, 1), (9, 1), (10, 1), (20, 2), (40, 3), (60, 3), (120, 3)])
-def test_changed_lines_are_found(spark, width, changed):
-    """One letter (0) or so many words are others; every pair has the similarity."""
-    rng = np.random.default_rng(100 * width + changed)
+def test_changed_lines_are_found(spark):
+    """One letter (0) or so many words are others; every pair has the similarity. Nine in ten are found at every length."""
+    cases = [(1, 0), (2, 0), (3, 0), (5, 0), (8, 1), (9, 1), (10, 1), (20, 2), (40, 3), (60, 3), (120, 3)]
+    rng = np.random.default_rng(8)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
     rows = []
-    for k in range(100):
-        words = [word() for _ in range(width)]
-        rows.append((2 * k, " ".join(words)))
-        at = rng.choice(width, max(changed, 1), replace=False)
-        for i in at:
-            cut_at = rng.integers(0, 6)
-            words[i] = word() if changed else words[i][:cut_at] + "z" + words[i][cut_at + 1 :]
-        rows.append((2 * k + 1, " ".join(words)))
+    for width, changed in cases:
+        for _ in range(100):
+            words = [word() for _ in range(width)]
+            rows.append((len(rows), " ".join(words)))
+            for i in rng.choice(width, max(changed, 1), replace=False):
+                cut_at = rng.integers(0, 6)
+                words[i] = word() if changed else words[i][:cut_at] + "z" + words[i][cut_at + 1 :]
+            rows.append((len(rows), " ".join(words)))
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").select("doc_id").collect()
-    assert all(r.doc_id % 2 for r in got) and len(got) >= 90
+    found = collections.Counter(r.doc_id // 200 for r in got if r.doc_id % 2)
+    assert all(found[i] >= 90 for i in range(len(cases))), found
+    assert sum(r.doc_id % 2 == 0 for r in got) <= 5, "single words may be alike by chance"
 
 
 @pytest.mark.parametrize("width", [10, 20, 60])
