@@ -599,3 +599,22 @@ def test_neighbours_with_few_rows_and_ties(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [3.0, 0.0]), (5, [1.0, 1.0]), (6, [1.0, -1.0]), (7, [float("nan"), 1.0])]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, 1.0), (5, 1.0), (6, 1.0), (4, 2.0)]
+
+
+@pytest.mark.parametrize("kind", ["tight", "far", "scales"])
+def test_neighbours_of_rows_that_share_their_codes(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 16))
+    if kind == "tight":
+        x = rng.normal(size=(4, 16))[np.arange(4000) % 4] + x * 1e-3
+    elif kind == "far":
+        x += 100
+    else:
+        x *= 10.0 ** rng.integers(-4, 4, size=(4000, 1))
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).toPandas()
+    hits = 0
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        best = [i for i in np.argsort(d, kind="stable") if i != q][:10]
+        hits += len(set(best) & set(got[got.query_id == q].vec_id))
+    assert len(got) == 400 and hits == 400
