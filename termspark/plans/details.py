@@ -8,7 +8,7 @@ from termspark.functions import acronym_of, short_id, short_type, uri_key
 from termspark.operators import ordinals, terms
 from termspark.operators.search import COLLECTIONS, VALUE_SETS
 from termspark.plans import SHORT, query
-from termspark.plans.store import below, source_rows, term_index
+from termspark.plans.store import below, source_rows, term_rows
 from termspark.plans.terms import BASES, TERMS, WRITE
 from termspark.sources import BASE, documents, shared_folder, views
 
@@ -78,7 +78,7 @@ def l11_collection_pages(spark, sf_dir):
 )
 def h7_value_set_nodes(spark, sf_dir):
     """The tree of every value set, regular or provisional, as nodes."""
-    every = term_index(spark, sf_dir).terms()
+    every = term_rows(spark, sf_dir)
     sets = every.where("entity = 'value_set'").select("acronym", F.col("ld_id").alias("set_id"))
     return terms.set_nodes(sets, every, below(spark, sf_dir))
 

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from termspark import plans
 from termspark.operators import hierarchy, index, integrated, ordinals, paging, terms
 from termspark.plans import store
 from termspark.sources import cut, discard
@@ -248,3 +249,13 @@ def _shuffled(spark, tracker):
     gateway = spark.sparkContext._gateway
     stages = tracker.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["l9_value_pages", "l10_sibling_pages", "l11_collection_pages", "l13_class_pages", "c10_retrieve_slices", "h7_value_set_nodes"])
+def test_pages_and_nodes_need_no_index(spark, monkeypatch, name):
+    def build(*_):
+        raise AssertionError("an index is built")
+
+    monkeypatch.setattr(index, "build", build)
+    monkeypatch.setattr(store, "_KEPT", {})
+    assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
