@@ -27,6 +27,8 @@ KINDS = ("prefLabel", "synonym", "property")
 
 #: Pieces of a text whose postings are intersected, and how many times the rarest one's postings the others may have.
 PIECES, TIMES = 3, 4
+#: Terms in a bucket of a delta.
+DELTA_ROWS = 20_000
 
 
 def words(text: Column) -> Column:
@@ -97,17 +99,25 @@ def build(terms: DataFrame, buckets: int | None = None) -> TermIndex:
     return TermIndex(_part(terms, 1, buckets))
 
 
+def _delta(terms: DataFrame) -> Part:
+    rows = cut(terms.select(*TERM))
+    out = _part(rows, -1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + rows.count() // DELTA_ROWS))
+    discard(rows)
+    return out
+
+
 def changed(index: TermIndex, created: DataFrame, deleted: DataFrame) -> TermIndex:
     """The index after terms in `created` (TERM) came or were replaced and those in `deleted` (acronym, ld_id) went.
 
-    Only the delta is written anew: changes of before that stay, and the new ones.
+    Only the delta is written anew: changes of before that stay, and the new ones. It has more buckets as it grows, so that no
+    task writes more than some of it.
     """
     keys = ["acronym", "ld_id"]
     touched = created.select(*keys).unionByName(deleted.select(*keys)).distinct()
     if index.delta is None:
-        return replace(index, delta=_part(created, -1, 1), gone=cut(touched))
+        return replace(index, delta=_delta(created), gone=cut(touched))
     stays = index.delta.terms.select(*TERM).join(touched, keys, "left_anti")
-    return replace(index, delta=_part(stays.unionByName(created.select(*TERM)), -1, 1), gone=cut(index.gone.unionByName(touched).distinct()))
+    return replace(index, delta=_delta(stays.unionByName(created.select(*TERM))), gone=cut(index.gone.unionByName(touched).distinct()))
 
 
 def compact(index: TermIndex, buckets: int | None = None) -> TermIndex:

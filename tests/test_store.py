@@ -259,3 +259,11 @@ def test_pages_and_nodes_need_no_index(spark, monkeypatch, name):
     monkeypatch.setattr(index, "build", build)
     monkeypatch.setattr(store, "_KEPT", {})
     assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_a_large_delta_has_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(index, "DELTA_ROWS", 10)
+    now = index.build(spark.createDataFrame([_term(random.Random(i), i) for i in range(50)], TERM))
+    none = spark.createDataFrame([], "acronym string, ld_id string")
+    after = index.changed(now, spark.createDataFrame([_term(random.Random(i + 90), i) for i in range(40)], TERM), none)
+    assert after.delta.terms.rdd.getNumPartitions() > 1 and after.delta.terms.select("no").distinct().count() == 40
