@@ -80,15 +80,20 @@ def limited(hits: DataFrame, requests: DataFrame, keys: list[Column]) -> DataFra
     return ranked(hits, keys).where(F.col("pos") <= last_shown(requests)).join(totals, "request_id")
 
 
-def first_pages(hits: DataFrame, requests: DataFrame, keys: list[Column]) -> DataFrame:
-    """hits with pos and total: each request's page (page, page_size) of its hits in the order of the keys.
+def first_ranked(hits: DataFrame, most: int, keys: list[Column], by: str) -> DataFrame:
+    """hits with pos and total, the first `most` rows of each group in the order of the keys.
 
-    hits has request_id, page, page_size, and should be written, as it is read twice: totals are counts, which combine before
-    they are shuffled, and rows are ranked behind a limit, the last row that any page shows, which every task applies first.
-    Keys that begin with those of `closest` are evaluated for hits that contain the query; for the others only where those do
-    not fill the pages.
+    hits should be written, as it is read twice: totals are counts, which combine before they are shuffled, and rows are ranked
+    behind the limit, which every task applies first. Keys that begin with those of `closest` are evaluated for hits that contain
+    the query; for the others only where those do not fill the pages.
     """
-    most, far = last_shown(requests), keys[0] != 0
-    totals = hits.groupBy("request_id").agg(F.count("*").alias("total"), F.count(F.when(keys[0] == 0, F.lit(1))).alias("_inside"))
-    sized = hits.join(totals, "request_id").where((F.col("_inside") < most) | ~F.coalesce(far, F.lit(True))).drop("_inside")
-    return page_of(ranked(sized, keys).where(F.col("pos") <= most))
+    far = keys[0] != 0
+    totals = hits.groupBy(by).agg(F.count("*").alias("total"), F.count(F.when(keys[0] == 0, F.lit(1))).alias("_inside"))
+    sized = hits.join(totals, by).where((F.col("_inside") < most) | ~F.coalesce(far, F.lit(True))).drop("_inside")
+    return ranked(sized, keys, by=by).where(F.col("pos") <= most)
+
+
+def first_pages(hits: DataFrame, requests: DataFrame, keys: list[Column]) -> DataFrame:
+    """hits with pos and total: each request's page (page, page_size) of its hits in the order of the keys; see first_ranked.
+    hits has request_id, page, page_size."""
+    return page_of(first_ranked(hits, last_shown(requests), keys, "request_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from termspark.functions import is_provisional_id, is_url, short_id, uri_key
 from termspark.operators.index import TERM, TermIndex, matches
-from termspark.operators.paging import closest, first_pages, limited, page_of
+from termspark.operators.paging import closest, first_ranked, last_shown, limited, page_of
 from termspark.operators.search import texts_of
 from termspark.operators.validate import creations
 from termspark.sources import cut
@@ -136,20 +136,26 @@ def bulk_search(requests: DataFrame, index: TermIndex, closure: DataFrame) -> Da
     A term matches by its label, a synonym or a property value (P10) that contains the trimmed query; with `suggest` (P11), if
     the last word of the query begins a word of the label and all before it are words of the label. A subtree keeps what lies
     below its root, up to max_depth levels (0: all). A column `sources` (P8), an array or null, keeps the terms of these
-    ontologies. Rows without a label count, but do not appear (P5).
+    ontologies. Rows without a label count, but do not appear (P5). Equal searches of different requests are made and ranked once,
+    so that the hits follow the searches that differ.
     """
     asked = requests.withColumn("text", F.lower(F.trim("q"))).where("text <> ''").withColumnRenamed("suggest", "ahead")
     if "sources" not in asked.columns:
         asked = asked.withColumn("sources", F.lit(None).cast("array<string>"))
-    met = matches(index, texts_of(asked, "q", F.col("ahead")))
+    told = ["text", "ahead", "scope", "sources", "subtree_root", "max_depth"]
+    asked = cut(asked.select("request_id", "q", "page", "page_size", *told, F.to_json(F.struct(*told)).alias("key")))
+    searches = cut(asked.select("key", *told).dropDuplicates(["key"]).withColumn("search", F.monotonically_increasing_id()))
+    met = matches(index, searches.select("text", "ahead").distinct())
     named = met.where("NOT ahead OR match_type = 'prefLabel'").select("text", "ahead", "match_type", *TERM)
-    found = asked.join(named, ["text", "ahead"]).where(F.col("sources").isNull() | F.array_contains("sources", F.col("acronym")))
+    found = searches.drop("key").join(named, ["text", "ahead"]).where(F.col("sources").isNull() | F.array_contains("sources", F.col("acronym")))
     inside = closure.select("acronym", F.col("root_id").alias("subtree_root"), F.col("node_id").alias("ld_id"), "depth")
     kept = found.where(scoped(F.col("entity"), F.col("scope"))).join(inside, ["acronym", "subtree_root", "ld_id"], "left")
     kept = cut(kept.where("subtree_root IS NULL OR (depth IS NOT NULL AND (max_depth = 0 OR depth <= max_depth))").drop("properties", "sources"))
     outside, near = closest(F.col("pref_label"), F.col("text"))
     keys = [F.coalesce(outside, F.lit(2)), near.asc_nulls_last(), F.col("acronym"), F.col("ord"), F.col("ld_id")]
-    shown = first_pages(kept, requests, keys).where("pref_label IS NOT NULL")
+    first = first_ranked(kept, last_shown(requests), keys, "search")
+    paged = asked.select("request_id", "q", "page", "page_size", "key").join(searches.select("key", "search"), "key").drop("key")
+    shown = page_of(paged.join(first, "search")).where("pref_label IS NOT NULL")
     synonyms = F.when(F.col("match_type") == "synonym", matched_synonyms(F.coalesce("pref_label", F.lit("")), F.col("synonyms"), F.col("q"))).otherwise(F.array().cast("array<string>"))
     return shown.select("request_id", "pos", "ld_id", type_name(F.col("entity")).alias("type"), "pref_label", "match_type", synonyms.alias("matched_synonyms"), "is_provisional", "total")
 

@@ -261,6 +261,20 @@ def test_pages_and_nodes_need_no_index(spark, monkeypatch, name):
     assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_equal_searches_are_ranked_once(spark, monkeypatch):
+    rng = random.Random(5)
+    now = index.build(spark.createDataFrame([_term(rng, i) for i in range(60)], TERM))
+    below = spark.createDataFrame([], hierarchy.CLOSURE)
+    columns = "request_id int, q string, scope string, suggest boolean, subtree_root string, max_depth int, page int, page_size int, sources array<string>"
+    asked = [(i, "Red" if i % 2 else " red", "all", False, None, 0, 1 + i % 3, 3, None if i % 5 else ["A"]) for i in range(40)]
+    seen, plain = [], terms.first_ranked
+    monkeypatch.setattr(terms, "first_ranked", lambda hits, *rest: seen.append(hits.count()) or plain(hits, *rest))
+    own = lambda rows: sorted(map(str, terms.bulk_search(spark.createDataFrame(rows, columns), now, below).collect()))
+    got = own(asked)
+    few = own(asked[:10])
+    assert seen[0] == seen[1] and few == [x for x in got if int(re.search(r"request_id=(\d+)", x)[1]) < 10]
+
+
 def test_a_large_delta_has_several_buckets(spark, monkeypatch):
     monkeypatch.setattr(index, "DELTA_ROWS", 10)
     now = index.build(spark.createDataFrame([_term(random.Random(i), i) for i in range(50)], TERM))
