@@ -8,11 +8,15 @@ requests and hits, not the index.
 
 Changes are a small index of their own, and a list of the terms that they replace or delete. Readers see the changes at once,
 without a rebuild; `compact` writes base and changes as a new base.
+
+All pieces of all names are many times the names. So terms that are searched once are scanned (`Names`): only pieces that
+the searched texts have are counted and met, in the task that reads the name, and only counts and matches are shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +33,8 @@ KINDS = ("prefLabel", "synonym", "property")
 PIECES, TIMES = 3, 4
 #: Terms in a bucket of a delta.
 DELTA_ROWS = 20_000
+#: Bytes of texts that a scan holds in every task; more of them are searched by an index that is made for them.
+HELD_BYTES = 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -75,6 +81,16 @@ class TermIndex:
         return self.base.terms.join(self.gone, ["acronym", "ld_id"], "left_anti").select(*TERM).unionByName(self.delta.terms.select(*TERM))
 
 
+@dataclass(frozen=True)
+class Names:
+    """Terms (TERM) that are searched by reading all of their names; the table is written."""
+
+    table: DataFrame
+
+    def terms(self) -> DataFrame:
+        return self.table.select(*TERM)
+
+
 def told(terms: DataFrame) -> DataFrame:
     """terms with `names`: for each kind of match the lower-case names with their words."""
     values = F.flatten(F.map_values(F.coalesce("properties", F.create_map().cast("map<string,array<string>>"))))
@@ -161,16 +177,70 @@ def found_in(names: Column) -> Column:
     return F.when(F.col("ahead"), F.exists(names, begun)).otherwise(F.exists(names, lambda n: F.contains(n["name"], F.col("text"))))
 
 
-def matches(index: TermIndex, texts: DataFrame) -> DataFrame:
+def _read(terms: DataFrame, wanted: DataFrame, ahead: bool, long: int) -> DataFrame:
+    """Columns of terms and of wanted (piece and others), for each term and each wanted piece of `long` characters that one of
+    its names has, or with `ahead`, that begins one of its words, which then are of any length up to `long`.
+
+    The names are taken as one text, and a piece counts where it is for the first time. Which pieces are wanted is known in each
+    task, so those that are not go where they are made.
+    """
+    values = F.flatten(F.map_values(F.coalesce("properties", F.create_map().cast("map<string,array<string>>"))))
+    every = F.concat(F.array("pref_label"), F.coalesce("synonyms", F.array().cast("array<string>")), values)
+    text, keep = terms.withColumn("_all", F.lower(F.array_join(every, "\n"))), [*terms.columns, *wanted.columns]
+    held = F.broadcast(wanted.withColumn("_piece", F.col("piece")))
+    if not ahead:
+        last = F.greatest(F.length("_all") - (long - 1), F.lit(1))
+        runs = text.withColumn("_at", F.explode(F.sequence(F.lit(1), last))).withColumn("piece", F.substring("_all", F.col("_at"), F.lit(long)))
+        return runs.join(held, "piece").where(F.call_function("locate", F.col("_piece"), F.col("_all")) == F.col("_at")).select(*keep)
+    each = text.withColumn("_words", words(F.col("_all"))).select("*", F.posexplode("_words").alias("_at", "_word")).where("_word <> ''")
+    begun = each.withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.length("_word"), F.lit(long))))).withColumn("piece", F.substring("_word", F.lit(1), F.col("_n")))
+    first = F.array_position(F.transform("_words", lambda w: F.startswith(w, F.col("_piece"))), True) == F.col("_at") + 1
+    return begun.join(held, "piece").where(first).select(*keep)
+
+
+def scanned(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """text, ahead and TERM of the terms that may match texts (text, ahead; written), each pair once.
+
+    As in `candidates`, a text with a piece that no term has matches nothing; the others meet what has their rarest piece.
+    """
+    length = F.least(F.length("text"), F.lit(3))
+    own = F.filter(F.when(F.col("ahead"), F.array_distinct(words(F.col("text")))).otherwise(trigrams(F.col("text"))), lambda p: p != "")
+    each = cut(texts.select("text", "ahead", F.when(F.col("ahead"), 0).otherwise(length).alias("kind"), F.size(own).alias("all"), F.explode(own).alias("piece")))
+    kinds = {r["kind"]: r["long"] for r in each.groupBy("kind").agg(F.max(F.length("piece")).alias("long")).collect()}
+    named = ["pref_label", "synonyms", "properties"]
+    rows = lambda table, wanted: [_read(table, wanted.where(F.col("kind") == kind), kind == 0, long) for kind, long in kinds.items()]
+    together = lambda parts: reduce(DataFrame.unionByName, parts)
+    if not kinds:
+        return terms.where("false").select(F.lit("").alias("text"), F.lit(False).alias("ahead"), *TERM)
+    met = together(rows(terms.select(*named), each.select("kind", "piece").distinct()))
+    sizes = cut(met.groupBy("kind", "piece").agg(F.count("*").alias("n")))
+    best = each.join(sizes, ["kind", "piece"]).groupBy("text", "ahead", "kind", "all").agg(F.min(F.struct("n", "piece")).alias("p"), F.count("*").alias("held"))
+    baits = cut(best.where("held = all").select("text", "ahead", "kind", "p.piece"))
+    discard(each, sizes)
+    return together(rows(terms.select(*TERM), baits)).select("text", "ahead", *TERM)
+
+
+def matches(index: TermIndex | Names, texts: DataFrame) -> DataFrame:
     """text, ahead, match_type and TERM: the terms that match each text (lower case, trimmed, not empty), by their label, else a
     synonym, else a property value; each is checked on its names.
 
     The match is generated, as a filter on it would be pushed down and evaluate it again.
     """
+    if isinstance(index, Names):
+        texts = cut(texts.select("text", "ahead"))
+        if (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > HELD_BYTES:
+            return matches(build(index.terms()), texts)
+        both = told(scanned(index.terms(), texts)).withColumn("typed", words(F.col("text")))
+    else:
+        both = _indexed(index, texts)
+    kind = F.coalesce(*[F.when(found_in(F.col(f"names.{k}")), k) for k in KINDS])
+    return both.select("text", "ahead", *TERM, F.explode_outer(F.array(kind)).alias("match_type")).where("match_type IS NOT NULL")
+
+
+def _indexed(index: TermIndex, texts: DataFrame) -> DataFrame:
+    """text, ahead, typed, TERM and names of the candidates among the terms of an index."""
     met = candidates(index, texts).withColumn("typed", words(F.col("text")))
     rows = [met.join(index.base.terms, "no")]
     if index.delta is not None:
         rows = [rows[0].join(index.gone, ["acronym", "ld_id"], "left_anti"), met.join(index.delta.terms, "no")]
-    both = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
-    kind = F.coalesce(*[F.when(found_in(F.col(f"names.{k}")), k) for k in KINDS])
-    return both.select("text", "ahead", *TERM, F.explode_outer(F.array(kind)).alias("match_type")).where("match_type IS NOT NULL")
+    return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termspark.functions import is_provisional_id
-from termspark.operators.index import TermIndex, matches
+from termspark.operators.index import Names, TermIndex, matches
 from termspark.operators.ordinals import SOURCE, Ordinals, fetched
 from termspark.operators.paging import closest, ranked, with_defaults
 from termspark.operators.search import BRANCHES, CLASSES, ONTOLOGIES, VALUE_SETS, arranged
@@ -29,10 +29,10 @@ PART = ["request_id", "source_type", "source_idx"]
 
 @dataclass(frozen=True)
 class Store:
-    """What is written once and serves all requests: the term index, the numbers of sources' rows, and what is below branches and
+    """What is written once and serves all requests: the terms or their index, the numbers of sources' rows, and what is below branches and
     value sets (acronym, root_id, node_id)."""
 
-    index: TermIndex
+    index: TermIndex | Names
     ordinals: Ordinals
     below: DataFrame
 

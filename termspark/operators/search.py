@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from termspark.operators.index import TermIndex, matches
+from termspark.operators.index import Names, TermIndex, matches
 from termspark.operators.paging import closest, first_pages, limited, page_of, ranked, with_defaults
 from termspark.sources import cut
 
@@ -19,7 +19,7 @@ def texts_of(requests: DataFrame, text: str, ahead: Column | None = None) -> Dat
     return low.where("text <> ''").distinct()
 
 
-def term_search(requests: DataFrame, index: TermIndex) -> DataFrame:
+def term_search(requests: DataFrame, index: TermIndex | Names) -> DataFrame:
     """requests (request_id, q, acronym, page, page_size), a row for each source, to ranked hits among regular terms, by their
     labels and synonyms."""
     met = matches(index, texts_of(requests, "q")).where("match_type <> 'property' AND NOT is_provisional").withColumn("synonym", F.try_element_at("synonyms", F.lit(1)))
@@ -30,7 +30,7 @@ def term_search(requests: DataFrame, index: TermIndex) -> DataFrame:
     return placed.select("request_id", "pos", "ld_id", "pref_label", "match_type", matched.alias("matched_synonym"), "total")
 
 
-def source_rows(requests: DataFrame, sources: DataFrame, concepts: DataFrame, closure: DataFrame, index: TermIndex | None = None) -> DataFrame:
+def source_rows(requests: DataFrame, sources: DataFrame, concepts: DataFrame, closure: DataFrame, index: TermIndex | Names | None = None) -> DataFrame:
     """All rows of each (request, source) before text and rank: request_id, source_type, source_idx, ld_id, pref_label, ord.
 
     Enumerated classes come from the request with their labels, whatever the table holds; an ontology gives all its concepts, a branch the descendants of its root, a

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termspark.functions import is_provisional_id, is_url, short_id, uri_key
-from termspark.operators.index import TERM, TermIndex, matches
+from termspark.operators.index import TERM, Names, TermIndex, matches
 from termspark.operators.paging import closest, first_ranked, last_shown, limited, page_of
 from termspark.operators.search import texts_of
 from termspark.operators.validate import creations
@@ -130,7 +130,7 @@ def unknown_sources(requests: DataFrame, ontologies: DataFrame) -> DataFrame:
     return named.join(ontologies.select("acronym"), "acronym", "left_anti").groupBy("request_id").agg(F.sort_array(F.collect_set("acronym")).alias("unknown"))
 
 
-def bulk_search(requests: DataFrame, index: TermIndex, closure: DataFrame) -> DataFrame:
+def bulk_search(requests: DataFrame, index: TermIndex | Names, closure: DataFrame) -> DataFrame:
     """Q1: requests (request_id, q, scope, suggest, subtree_root, max_depth, page, page_size) to ranked, paged hits.
 
     A term matches by its label, a synonym or a property value (P10) that contains the trimmed query; with `suggest` (P11), if

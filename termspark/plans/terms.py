@@ -243,7 +243,7 @@ def p15_children_of_sets(spark, sf_dir):
 def q1_bulk_search(spark, sf_dir):
     """The whole bulk search over regular and provisional terms."""
     (requests,) = views(spark, sf_dir, "term_requests")
-    found = terms.bulk_search(requests, store.term_index(spark, sf_dir), store.closure(spark, sf_dir))
+    found = terms.bulk_search(requests, store.names(spark, sf_dir), store.closure(spark, sf_dir))
     return found.withColumn("matched_synonyms", F.array_join("matched_synonyms", ","))
 
 

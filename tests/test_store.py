@@ -281,3 +281,17 @@ def test_a_large_delta_has_several_buckets(spark, monkeypatch):
     none = spark.createDataFrame([], "acronym string, ld_id string")
     after = index.changed(now, spark.createDataFrame([_term(random.Random(i + 90), i) for i in range(40)], TERM), none)
     assert after.delta.terms.rdd.getNumPartitions() > 1 and after.delta.terms.select("no").distinct().count() == 40
+
+
+@pytest.mark.parametrize("texts", [TEXTS, [t for t in TEXTS if t[1]], [("red", False)], [("-", True), ("zzz", False)]])
+def test_a_scan_finds_what_an_index_finds_and_stores_no_pieces(spark, monkeypatch, texts):
+    rng = random.Random(4)
+    rows = [_term(rng, i) for i in range(120)] + [("A", "twice", "class", "red red ring", ["reddish ring", "red"], {"p": ["RED", None]}, 500, False), ("A", "bare", "class", None, None, None, 501, False)]
+    table, asked = cut(spark.createDataFrame(rows, TERM)), spark.createDataFrame(texts, "text string, ahead boolean")
+    want = sorted(tuple(map(str, r)) for r in index.matches(index.build(table), asked).select("text", "ahead", "match_type", *index.TERM).collect())
+    look = lambda: sorted(tuple(map(str, r)) for r in index.matches(index.Names(table), asked).select("text", "ahead", "match_type", *index.TERM).collect())
+    with monkeypatch.context() as m:
+        m.setattr(index, "build", lambda *_: pytest.fail("an index was made"))
+        assert look() == want
+    monkeypatch.setattr(index, "HELD_BYTES", 0)
+    assert look() == want
