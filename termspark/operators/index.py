@@ -181,27 +181,35 @@ def _read(terms: DataFrame, wanted: DataFrame, ahead: bool, long: int) -> DataFr
     """Columns of terms and of wanted (piece and others), for each term and each wanted piece of `long` characters that one of
     its names has, or with `ahead`, that begins one of its words, which then are of any length up to `long`.
 
-    The names are taken as one text, and a piece counts where it is for the first time. Which pieces are wanted is known in each
-    task, so those that are not go where they are made.
+    The names are taken as one text, which has to contain the columns of wanted that begin with `also`; a piece counts where it is
+    for the first time. Which pieces are wanted is known in each task, by a hash, so that others go where they are made.
     """
     values = F.flatten(F.map_values(F.coalesce("properties", F.create_map().cast("map<string,array<string>>"))))
     every = F.concat(F.array("pref_label"), F.coalesce("synonyms", F.array().cast("array<string>")), values)
     text, keep = terms.withColumn("_all", F.lower(F.array_join(every, "\n"))), [*terms.columns, *wanted.columns]
-    held = F.broadcast(wanted.withColumn("_piece", F.col("piece")))
+    held = F.broadcast(wanted.withColumnRenamed("piece", "_piece").withColumn("_key", F.xxhash64("_piece")))
+    keep[len(terms.columns) + wanted.columns.index("piece")] = "_piece"
+    # Not as an equality, which would be a second key of the join: by a long alone it is much faster.
+    same = (F.xxhash64("piece") == F.col("_key")) & F.startswith(F.col("piece"), F.col("_piece")) & F.startswith(F.col("_piece"), F.col("piece"))
+    for c in wanted.columns:
+        if c.startswith("also"):
+            same = same & F.contains("_all", c)
     if not ahead:
         last = F.greatest(F.length("_all") - (long - 1), F.lit(1))
         runs = text.withColumn("_at", F.explode(F.sequence(F.lit(1), last))).withColumn("piece", F.substring("_all", F.col("_at"), F.lit(long)))
-        return runs.join(held, "piece").where(F.call_function("locate", F.col("_piece"), F.col("_all")) == F.col("_at")).select(*keep)
+        first = F.call_function("locate", F.col("_piece"), F.col("_all")) == F.col("_at")
+        return runs.join(held, same & first).select(*keep).withColumnRenamed("_piece", "piece")
     each = text.withColumn("_words", words(F.col("_all"))).select("*", F.posexplode("_words").alias("_at", "_word")).where("_word <> ''")
     begun = each.withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.length("_word"), F.lit(long))))).withColumn("piece", F.substring("_word", F.lit(1), F.col("_n")))
     first = F.array_position(F.transform("_words", lambda w: F.startswith(w, F.col("_piece"))), True) == F.col("_at") + 1
-    return begun.join(held, "piece").where(first).select(*keep)
+    return begun.join(held, same).where(first).select(*keep).withColumnRenamed("_piece", "piece")
 
 
 def scanned(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """text, ahead and TERM of the terms that may match texts (text, ahead; written), each pair once.
 
-    As in `candidates`, a text with a piece that no term has matches nothing; the others meet what has their rarest piece.
+    As in `candidates`, a text with a piece that no term has matches nothing; the others meet what has their rarest piece, and
+    two others, the longest ones.
     """
     length = F.least(F.length("text"), F.lit(3))
     own = F.filter(F.when(F.col("ahead"), F.array_distinct(words(F.col("text")))).otherwise(trigrams(F.col("text"))), lambda p: p != "")
@@ -214,8 +222,10 @@ def scanned(terms: DataFrame, texts: DataFrame) -> DataFrame:
         return terms.where("false").select(F.lit("").alias("text"), F.lit(False).alias("ahead"), *TERM)
     met = together(rows(terms.select(*named), each.select("kind", "piece").distinct()))
     sizes = cut(met.groupBy("kind", "piece").agg(F.count("*").alias("n")))
-    best = each.join(sizes, ["kind", "piece"]).groupBy("text", "ahead", "kind", "all").agg(F.min(F.struct("n", "piece")).alias("p"), F.count("*").alias("held"))
-    baits = cut(best.where("held = all").select("text", "ahead", "kind", "p.piece"))
+    best = each.join(sizes, ["kind", "piece"]).groupBy("text", "ahead", "kind", "all").agg(F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("found"))
+    rest = F.reverse(F.array_sort(F.transform(F.slice("found", 2, F.size("found")), lambda p: F.struct(F.length(p["piece"]).alias("n"), p["piece"].alias("piece")))))
+    also = [F.coalesce(F.get(rest, F.lit(i))["piece"], F.lit("")).alias(f"also{i}") for i in (0, 1)]
+    baits = cut(best.where("size(found) = all").select("text", "ahead", "kind", F.col("found")[0]["piece"].alias("piece"), *also))
     discard(each, sizes)
     return together(rows(terms.select(*TERM), baits)).select("text", "ahead", *TERM)
 

@@ -20,7 +20,7 @@ from termspark.operators.ordinals import SOURCE, Ordinals, fetched
 from termspark.operators.paging import closest, ranked, with_defaults
 from termspark.operators.search import BRANCHES, CLASSES, ONTOLOGIES, VALUE_SETS, arranged
 from termspark.operators.terms import resolve_actions, source_counts
-from termspark.sources import cut
+from termspark.sources import cut, discard
 
 #: The routes of requests of one source, by its type.
 ROUTES = {CLASSES: "classes", ONTOLOGIES: "ontology", BRANCHES: "branch", VALUE_SETS: "value_set"}
@@ -96,13 +96,14 @@ def ranked_searches(searches: DataFrame, store: Store, most: int) -> tuple[DataF
     ahead = F.col("source_type") < VALUE_SETS
     met = matches(store.index, few.select("text", ahead.alias("ahead")).distinct())
     fits = F.when(F.col("ahead"), F.col("entity") == "class").otherwise((F.col("entity") == "value") & (F.col("match_type") == "prefLabel"))
-    hits = met.where(fits).select("text", "ahead", "acronym", "ld_id", "pref_label", "ord")
+    hits = cut(met.where(fits).select("text", "ahead", "acronym", "ld_id", "pref_label", "ord"))
     asked, told = few.withColumn("ahead", ahead), ["search", "text", "acronym", "ld_id", "pref_label", "ord"]
     free = asked.where(F.col("source_type") == ONTOLOGIES).join(hits, ["text", "ahead", "acronym"])
     roots = asked.where(F.col("source_type") > ONTOLOGIES)
     inside = store.below.select("acronym", F.col("root_id").alias("root"), F.col("node_id").alias("ld_id")).join(roots.select("acronym", "root").distinct(), ["acronym", "root"], "left_semi")
     rooted = hits.join(inside, ["acronym", "ld_id"]).join(roots, ["text", "ahead", "acronym", "root"])
     found = cut(free.select(*told).unionByName(rooted.select(*told)))
+    discard(hits)
     keys = [*[c.asc_nulls_last() for c in closest(F.col("pref_label"), F.col("text"))], F.col("acronym"), F.col("ord"), F.col("ld_id")]
     placed = ranked(found, keys, "nth", "search").where(F.col("nth") <= most)
     return placed.select("search", "nth", "ld_id", "pref_label"), found.groupBy("search").agg(F.count("*").alias("total"))
