@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termspark.operators.index import Names, TermIndex, matches
+from termspark.operators.ordinals import SOURCE, Ordinals, ordinals, retrieve_pages
 from termspark.operators.paging import closest, first_pages, limited, page_of, ranked, with_defaults
 from termspark.sources import cut
 
@@ -102,6 +103,27 @@ def integrated_retrieve(requests: DataFrame, rows: DataFrame) -> DataFrame:
     return page_of(placed).select("request_id", "pos", "source_type", "ld_id", "pref_label")
 
 
+def numbered_sources(sources: DataFrame, concepts: DataFrame, closure: DataFrame) -> Ordinals:
+    """The numbers of the rows of the ontologies, branches and value sets that sources name, each source once, by ord and ld_id."""
+    named = cut(sources.where(F.col("source_type") > CLASSES).select("source_type", "acronym", F.coalesce("uri", F.lit("")).alias("uri")).distinct())
+    terms, row = concepts.select("acronym", "ld_id", "pref_label", "ord"), [*SOURCE, "ld_id", "pref_label", "ord"]
+    # There is one row for each ontology, which all of its terms share.
+    whole = F.broadcast(named.where(F.col("source_type") == ONTOLOGIES)).join(terms, "acronym").select(*row)
+    inside = closure.select("acronym", F.col("root_id").alias("uri"), F.col("node_id").alias("ld_id"))
+    below = named.where(F.col("source_type").isin(BRANCHES, VALUE_SETS)).join(inside, ["acronym", "uri"]).join(terms, ["acronym", "ld_id"]).select(*row)
+    return ordinals(whole.unionByName(below), ["ord", "ld_id"])
+
+
+def retrieved(requests: DataFrame, sources: DataFrame, concepts: DataFrame, closure: DataFrame) -> DataFrame:
+    """What integrated_retrieve gives, from the sources themselves instead of all their rows.
+
+    A source is numbered once, whatever requests name it, in tasks of sorted ranges; pages read the numbers that they show.
+    """
+    asked = sources.join(requests.select("request_id"), "request_id", "left_semi")
+    named = asked.withColumn("uri", F.when(F.col("source_type") != ONTOLOGIES, F.col("uri")))
+    return retrieve_pages(with_defaults(requests), named, numbered_sources(named, concepts, closure))
+
+
 def classified(hits: DataFrame, catalog: DataFrame, collections: list[str]) -> DataFrame:
     """Hits (acronym, ld_id, pref_label) with type and total: in a collection, what the catalog of value sets has is a
     value set, the rest a value; elsewhere a class. The totals of each ontology count rows without a label, which then go."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from termspark.operators import hierarchy, index, lookup, properties, search, validate
-from termspark.plans import ORACLES, _sources, query, recursive, store
+from termspark.plans import ORACLES, _asked, query, recursive, store
 from termspark.sources import BASE, documents, shared_folder, views
 
 
@@ -126,7 +126,7 @@ def p7_search_scopes(spark, sf_dir):
 @query()
 def s11_result_pages(spark, sf_dir):
     """The pages of c10, written as one JSON document per request and read back."""
-    found = search.integrated_retrieve(*_sources(spark, sf_dir))
+    found = search.retrieved(*_asked(spark, sf_dir))
     folder = shared_folder(spark)
     documents.write_pages(found, found.select("request_id").distinct(), folder)
     return documents.read_pages(spark, folder, "source_type int, ld_id string, pref_label string")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termspark.functions import acronym_of, is_property_type, short_type
 from termspark.operators import hierarchy, lookup, paging, properties, search, terms, validate
-from termspark.plans import NAMES, ORACLES, ROWS, SHORT, _sources, query, recursive, store
+from termspark.plans import NAMES, ORACLES, ROWS, SHORT, _asked, _sources, query, recursive, store
 from termspark.sources import BASE, documents, shared_folder, views, with_views
 from termspark.streaming import refresh_catalog
 
@@ -136,7 +136,7 @@ def l18_action_terms(spark, sf_dir):
     requests, rows = _sources(spark, sf_dir)
     (actions,) = views(spark, sf_dir, "actions")
     kind = F.when(F.col("position") == 3, "Thing").when(F.col("position") == 2, "Value").otherwise("OntologyClass")
-    page = search.integrated_retrieve(requests, rows)
+    page = search.retrieved(*_asked(spark, sf_dir))
     return terms.resolve_actions(actions.select("request_id", "term_uri", kind.alias("type")), page, rows.where("source_type = 0"), _terms(spark, sf_dir)[0])
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termspark import plans
-from termspark.operators import hierarchy, index, integrated, ordinals, paging, terms
+from termspark.operators import hierarchy, index, integrated, ordinals, paging, search, terms
 from termspark.plans import store
 from termspark.sources import cut, discard
 from termspark.streaming import latest_state, stream_state
@@ -295,3 +295,17 @@ def test_a_scan_finds_what_an_index_finds_and_stores_no_pieces(spark, monkeypatc
         assert look() == want
     monkeypatch.setattr(index, "HELD_BYTES", 0)
     assert look() == want
+
+
+def test_sources_that_requests_share_are_numbered_once(spark, monkeypatch):
+    concepts = spark.createDataFrame([("A", f"t{i:02}", f"term {i}", i % 5) for i in range(40)], "acronym string, ld_id string, pref_label string, ord long")
+    closure = spark.createDataFrame([("A", "t00", f"t{i:02}") for i in range(1, 9)], "acronym string, root_id string, node_id string")
+    asked = [(r, 1 + r % 3, 3 + r) for r in range(6)] + [(6, 50, 2), (7, 0, 0)]
+    requests = spark.createDataFrame([(r, None, page, size) for r, page, size in asked], "request_id long, input_text string, page int, page_size int")
+    listed = [(r, 0, 0, "A", "t99", "In no table") for r in range(0, 8, 2)] + [(r, 1, 0, "A", None, None) for r in range(8)] + [(r, 2, 1, "A", "t00", None) for r in range(0, 8, 3)]
+    sources = spark.createDataFrame(listed, "request_id long, source_type int, source_idx int, acronym string, uri string, label string")
+    counted, real = [], ordinals.numbered
+    monkeypatch.setattr(ordinals, "numbered", lambda rows, *a: counted.append(rows.count()) or real(rows, *a))
+    want = search.integrated_retrieve(requests, search.source_rows(requests, sources, concepts, closure))
+    found = search.retrieved(requests, sources, concepts, closure)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.select(*found.columns).collect())) and counted == [48]
