@@ -369,6 +369,33 @@ def test_lines_with_one_letter_changed_are_found(spark, width):
     assert all(r.doc_id % 2 for r in got) and len(got) >= 90
 
 
+def test_line_keys_are_compiled(spark, tmp_path):
+    """The JVM compiles no method of more than 8,000 bytes; the keys of all sets in one expression took 20,419."""
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    lines.simhash_lines(docs).select(F.lit(1).cast("long").alias("node"), "*").write.parquet(f"{tmp_path}/named")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for made in (lines.simhash_lines(spark.read.parquet(f"{tmp_path}/docs")), lines.block_keys(spark.read.parquet(f"{tmp_path}/named"))):
+            parts = made._jdf.queryExecution().debug().codegenToSeq()
+            sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+            assert sizes and max(sizes) <= 8000, sizes
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_pairs_of_long_lines(spark):
+    """Beyond the second band: swapped halves and other letters, near, equal in counts, and just at the limit and beyond it."""
+    rng = np.random.default_rng(4)
+    text = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    a = text("abcdefgh", 100)
+    edited = lambda n: "".join("z" if i % 5 == 2 and i // 5 < n else c for i, c in enumerate(a))
+    others = [text("abcdefgh", 100), text("qrstuv", 100), text("\u0430\u0431\u0432", 100), a[300:] + " " + a[:299], a[90:], a[150:], "y" * 60 + a[60:], edited(110), edited(119), edited(120), a + " " + a[:140], a[:300] + text("mn", 12) + a[371:]]
+    got = {r.b for r in lines.similar_pairs(spark.createDataFrame([(0, i, a, b) for i, b in enumerate(others)], "a long, b long, norm_a string, norm_b string"), 0.8).collect()}
+    assert got == {i for i, b in enumerate(others) if _distance(a, b) <= max(len(a), len(b)) // 5} and 4 <= len(got) <= 8
+
+
 def test_op8_query(spark, tmp_path):
     """Nulls, empty and very long lines, repeated rows and a clashing column, through the registered query."""
     long = " ".join(f"w{i}" for i in range(40000))
