@@ -244,6 +244,40 @@ def test_rows_of_trees_are_not_shuffled(spark):
     assert _shuffled(spark, tracker) - before < 20 * 400
 
 
+def test_one_parents_rows_are_dealt(spark, monkeypatch):
+    """A parent's children, as targets of trees with all of them, are the work of many tasks, also without broadcasts."""
+    monkeypatch.setattr(hierarchy, "SHARE", 500, raising=False)
+    monkeypatch.setattr(hierarchy, "LISTED", 16, raising=False)
+    plain = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    edges = spark.createDataFrame([("A", f"n{i}", "n0", i) for i in range(1, 201)], "acronym string, child_id string, parent_id string, ord long")
+    tree = hierarchy.tree_to(edges.select("acronym", F.col("child_id").alias("target_id")), spark.createDataFrame([("A", "n0")], "acronym string, ld_id string"), edges)
+    held = [r["count"] for r in tree.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plain)
+    assert sum(held) == 200 * 201 and max(held) < 10_000
+
+
+def test_trees_of_odd_edges(spark, monkeypatch):
+    """Several parents, cycles, repeated edges, a root and an empty id as targets, facts; roots and children in several lists."""
+    monkeypatch.setattr(hierarchy, "LISTED", 2)
+    monkeypatch.setattr(hierarchy, "SHARE", 3)
+    edges = [("a", "r"), ("b", "r"), ("b", "r"), ("c", "a"), ("c", "b"), ("d", "c"), ("e", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("x", "x"), ("f", ""), ("", "r"), ("g", "r")]
+    tops, targets = ["r", "s", "t"], ["c", "d", "r", "x", "f", "", "none", "c"]
+    up = lambda n: {p for c, p in edges if c == n}
+    want = []
+    for t in set(targets):
+        above, front = set(), {t}
+        while front := {p for n in front for p in up(n)} - above - {t}:
+            above |= front
+        way = above | {t}
+        want += [(t, None, n, n in way, n * 2) for n in tops] + [(t, p, n, n in way, n * 2) for n, p in edges if p in above]
+    frame = spark.createDataFrame([("A", c, p) for c, p in edges] + [("B", "a", "c")], "acronym string, child_id string, parent_id string")
+    asked = spark.createDataFrame([("A", t) for t in targets] + [("C", "a")], "acronym string, target_id string")
+    facts = spark.createDataFrame([("A", n, n * 2) for n in {n for e in edges for n in e} | set(tops)], "acronym string, node_id string, twice string")
+    got = hierarchy.tree_to(asked, spark.createDataFrame([("A", n) for n in tops] + [("B", "c")], "acronym string, ld_id string"), frame, facts).collect()
+    assert sorted((tuple(r)[1:] for r in got), key=str) == sorted(want, key=str) and {r.acronym for r in got} == {"A"}
+
+
 def _shuffled(spark, tracker):
     """Rows that all stages of the session have written to shuffles."""
     gateway = spark.sparkContext._gateway
