@@ -10,7 +10,8 @@ Changes are a small index of their own, and a list of the terms that they replac
 without a rebuild; `compact` writes base and changes as a new base.
 
 All pieces of all names are many times the names. So terms that are searched once are scanned (`Names`): only pieces that
-the searched texts have are counted and met, in the task that reads the name, and only counts and matches are shuffled.
+the searched texts have are counted and met, in the task that reads the name, and only counts and matches are shuffled. A few
+texts are looked for in all names as they are. Names take changes as an index does: in a delta and a list, over a base that stays.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ PIECES, TIMES = 3, 4
 DELTA_ROWS = 20_000
 #: Bytes of texts that a scan holds in every task; more of them are searched by an index that is made for them.
 HELD_BYTES = 16 << 20
+#: So many texts at most are looked for in every name, rather than their pieces.
+FEW_TEXTS = 16
 
 
 def words(text: Column) -> Column:
@@ -83,12 +86,16 @@ class TermIndex:
 
 @dataclass(frozen=True)
 class Names:
-    """Terms (TERM) that are searched by reading all of their names; the table is written."""
+    """Terms (TERM) that are searched by reading all of their names; the tables are written. delta and gone are as in an index."""
 
     table: DataFrame
+    delta: DataFrame | None = None
+    gone: DataFrame | None = None
 
     def terms(self) -> DataFrame:
-        return self.table.select(*TERM)
+        if self.delta is None:
+            return self.table.select(*TERM)
+        return self.table.join(self.gone, ["acronym", "ld_id"], "left_anti").select(*TERM).unionByName(self.delta.select(*TERM))
 
 
 def told(terms: DataFrame) -> DataFrame:
@@ -122,14 +129,20 @@ def _delta(terms: DataFrame) -> Part:
     return out
 
 
-def changed(index: TermIndex, created: DataFrame, deleted: DataFrame) -> TermIndex:
-    """The index after terms in `created` (TERM) came or were replaced and those in `deleted` (acronym, ld_id) went.
+def changed(index: TermIndex | Names, created: DataFrame, deleted: DataFrame) -> TermIndex | Names:
+    """The index, or the names, after terms in `created` (TERM) came or were replaced and those in `deleted` (acronym, ld_id) went.
 
-    Only the delta is written anew: changes of before that stay, and the new ones. It has more buckets as it grows, so that no
-    task writes more than some of it.
+    Only the delta is written anew: changes of before that stay, and the new ones. That of an index has more buckets as it grows,
+    so that no task writes more than some of it.
     """
     keys = ["acronym", "ld_id"]
     touched = created.select(*keys).unionByName(deleted.select(*keys)).distinct()
+    if isinstance(index, Names):
+        touched, rows = cut(touched), created.select(*TERM)
+        if index.delta is None:
+            return replace(index, delta=cut(rows), gone=touched)
+        stays = index.delta.join(touched, keys, "left_anti").select(*TERM)
+        return replace(index, delta=cut(stays.unionByName(rows)), gone=cut(index.gone.unionByName(touched).distinct()))
     if index.delta is None:
         return replace(index, delta=_delta(created), gone=cut(touched))
     stays = index.delta.terms.select(*TERM).join(touched, keys, "left_anti")
@@ -177,6 +190,13 @@ def found_in(names: Column) -> Column:
     return F.when(F.col("ahead"), F.exists(names, begun)).otherwise(F.exists(names, lambda n: F.contains(n["name"], F.col("text"))))
 
 
+def _every_name(terms: DataFrame) -> DataFrame:
+    """terms with `_all`, all names of a term in lower case as one text."""
+    values = F.flatten(F.map_values(F.coalesce("properties", F.create_map().cast("map<string,array<string>>"))))
+    every = F.concat(F.array("pref_label"), F.coalesce("synonyms", F.array().cast("array<string>")), values)
+    return terms.withColumn("_all", F.lower(F.array_join(every, "\n")))
+
+
 def _read(terms: DataFrame, wanted: DataFrame, ahead: bool, long: int) -> DataFrame:
     """Columns of terms and of wanted (piece and others), for each term and each wanted piece of `long` characters that one of
     its names has, or with `ahead`, that begins one of its words, which then are of any length up to `long`.
@@ -184,9 +204,7 @@ def _read(terms: DataFrame, wanted: DataFrame, ahead: bool, long: int) -> DataFr
     The names are taken as one text, which has to contain the columns of wanted that begin with `also`; a piece counts where it is
     for the first time. Which pieces are wanted is known in each task, by a hash, so that others go where they are made.
     """
-    values = F.flatten(F.map_values(F.coalesce("properties", F.create_map().cast("map<string,array<string>>"))))
-    every = F.concat(F.array("pref_label"), F.coalesce("synonyms", F.array().cast("array<string>")), values)
-    text, keep = terms.withColumn("_all", F.lower(F.array_join(every, "\n"))), [*terms.columns, *wanted.columns]
+    text, keep = _every_name(terms), [*terms.columns, *wanted.columns]
     held = F.broadcast(wanted.withColumnRenamed("piece", "_piece").withColumn("_key", F.xxhash64("_piece")))
     keep[len(terms.columns) + wanted.columns.index("piece")] = "_piece"
     # Not as an equality, which would be a second key of the join: by a long alone it is much faster.
@@ -205,6 +223,15 @@ def _read(terms: DataFrame, wanted: DataFrame, ahead: bool, long: int) -> DataFr
     return begun.join(held, same).where(first).select(*keep).withColumnRenamed("_piece", "piece")
 
 
+def looked_through(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """text, ahead and TERM of the terms that may match a few texts (text, ahead): each text, or with `ahead` each of its words,
+    is somewhere in the names. As in `candidates`, a text without words matches nothing with `ahead`."""
+    typed = F.filter(words(F.col("text")), lambda w: w != "")
+    asked = F.broadcast(texts.select("text", "ahead", typed.alias("_typed")).where("NOT ahead OR size(_typed) > 0"))
+    there = F.when(F.col("ahead"), F.forall("_typed", lambda w: F.contains(F.col("_all"), w))).otherwise(F.contains("_all", "text"))
+    return _every_name(terms.select(*TERM)).join(asked, there).select("text", "ahead", *TERM)
+
+
 def scanned(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """text, ahead and TERM of the terms that may match texts (text, ahead; written), each pair once.
 
@@ -238,9 +265,15 @@ def matches(index: TermIndex | Names, texts: DataFrame) -> DataFrame:
     """
     if isinstance(index, Names):
         texts = cut(texts.select("text", "ahead"))
-        if (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > HELD_BYTES:
+        n, held = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+        if (held or 0) > HELD_BYTES:
             return matches(build(index.terms()), texts)
-        both = told(scanned(index.terms(), texts)).withColumn("typed", words(F.col("text")))
+        met = looked_through if n <= FEW_TEXTS else scanned
+        found = met(index.table, texts)
+        if index.delta is not None:  # the hits are written, or what is gone would be taken from all names before the search
+            stays = cut(found).join(index.gone, ["acronym", "ld_id"], "left_anti").select("text", "ahead", *TERM)
+            found = stays.unionByName(met(index.delta, texts))
+        both = told(found).withColumn("typed", words(F.col("text")))
     else:
         both = _indexed(index, texts)
     kind = F.coalesce(*[F.when(found_in(F.col(f"names.{k}")), k) for k in KINDS])

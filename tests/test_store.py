@@ -66,6 +66,28 @@ def test_index_finds_what_a_scan_finds_through_changes(spark):
     assert {r.ld_id for r in now.terms().collect()} == {f"t{i}" for i in rows} and _found(spark, index.compact(now)) == want()
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_names_are_found_through_changes(spark, monkeypatch, few):
+    """Names take what an index takes: terms that come, are replaced, go and come back, in two rounds; the base stays."""
+    monkeypatch.setattr(index, "FEW_TEXTS", few, raising=False)
+    rng = random.Random(6)
+    rows = {i: _term(rng, i) for i in range(120)}
+    now = base = index.Names(cut(spark.createDataFrame(list(rows.values()), TERM)))
+    for begin in (100, 110):
+        new = {i: _term(rng, i) for i in [*range(begin, begin + 25), 45]}
+        gone = range(begin - 60, begin - 45)
+        rows = {i: r for i, r in (rows | {i: r for i, r in new.items() if i != 45}).items() if i not in gone} | {45: new[45]}
+        now = index.changed(now, spark.createDataFrame(list(new.values()), TERM), spark.createDataFrame([("A", f"t{i}") for i in gone], "acronym string, ld_id string"))
+        assert _found(spark, now) == set().union(*(_plain(rows.values(), t, a) for t, a in TEXTS)) and now.table is base.table
+    assert {r.ld_id for r in now.terms().collect()} == {f"t{i}" for i in rows}
+
+
+def test_changed_terms_are_found_without_an_index(spark, monkeypatch):
+    monkeypatch.setattr(index, "build", lambda *_: pytest.fail("an index is made"))
+    monkeypatch.setattr(store, "_KEPT", {})
+    assert plans.QUERIES["m7_read_your_writes"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_a_search_moves_requests_and_not_the_index(spark):
     now = index.build(spark.createDataFrame([_term(random.Random(i), i) for i in range(50)], TERM))
     texts = cut(spark.createDataFrame(TEXTS, "text string, ahead boolean"))
