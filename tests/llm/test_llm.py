@@ -355,6 +355,30 @@ def test_changed_lines_are_found(spark):
     assert sum(r.doc_id % 2 == 0 for r in got) <= 5, "single words may be alike by chance"
 
 
+def test_lines_with_several_words_changed_are_found(spark):
+    """Lines of 4 to 24 words with a fifth of the words, and one more, replaced by others of the same length: none is missed."""
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    rows, cases = [], [(4, 1, 4), (5, 1, 6), (5, 2, 3), (8, 2, 4), (9, 2, 5), (10, 2, 6), (10, 3, 3), (12, 3, 5), (15, 4, 4), (20, 3, 6), (20, 5, 4), (24, 5, 5)]
+    for width, changed, length in cases:
+        for _ in range(40):
+            words = [word(length if i < changed else 7) for i in range(width)]
+            other = [word(length) if i < changed else w for i, w in enumerate(words)]
+            order = rng.permutation(width)
+            rows += [(len(rows), " ".join(words[i] for i in order)), (len(rows) + 1, " ".join(other[i] for i in order))]
+    alike = {i for i in range(0, len(rows), 2) if _distance(rows[i][1], rows[i + 1][1]) <= max(len(rows[i][1]), len(rows[i + 1][1])) // 5}
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").select("doc_id").collect()
+    assert {r.doc_id - 1 for r in got} == alike and len(alike) > 400
+
+
+def test_a_frequent_pair_of_words_is_no_bucket(spark):
+    """Lines that share one long pair of words are not all compared because of it."""
+    rng = np.random.default_rng(12)
+    rows = [(i, f"extraordinarily commonplace {' '.join(''.join(rng.choice(list('abcdefghij'), 6)) for _ in range(10))}") for i in range(400)]
+    named = lines.simhash_lines(spark.createDataFrame(rows, "doc_id long, text string")).select(F.col("id").alias("node"), "*")
+    assert lines.pair_keys(named).groupBy("key").count().where("count > 20").count() == 0
+
+
 @pytest.mark.parametrize("width", [10, 20, 60])
 def test_lines_with_one_letter_changed_are_found(spark, width):
     rng = np.random.default_rng(width)
